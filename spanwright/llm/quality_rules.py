@@ -36,7 +36,7 @@ RULES = (
     Rule("repeated_words", "100 * n_repeat_words > 30 * n_words"),
     Rule("symbols", "100 * n_symbols > 30 * n_words"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
-    Rule("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule("upper_case", "100 * n_upper > 50 * word_chars"),
 )
 BASE = ("few_words", "repeated_words")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import best_fit_packing, quality_rules, source_mix, warc_legacy
+from ._shared import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +36,41 @@ b AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines
 f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
         + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END
         + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 8 ELSE 0 END
-        + CASE WHEN 100 * n_dup_lines > 30 * len(lines) THEN 16 ELSE 0 END
+        + CASE WHEN 100 * n_dup_lines > 50 * len(lines) THEN 16 ELSE 0 END
         + CASE WHEN 100 * n_upper > 50 * word_chars THEN 32 ELSE 0 END)::INTEGER AS fail_bits FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL}
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = materialise(source_mix.sizes(table(spark, sf_dir, "documents")), "mix-sizes")
+    rules = source_mix.rules(sized, source_mix.targets(sized, weights=(3, 1, 2), share=1.5, limit=2.0))
+    return source_mix.mix(sized, rules).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def op8_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_legacy.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to FROM r
+"""
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit_packing.pieces(table(spark, sf_dir, "documents"))
+    return best_fit_packing.pack(pieces)
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_source_mix": op3_source_mix,
+    "op8_legacy_archives": op8_legacy_archives,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op8_legacy_archives": OP8_SQL}
