@@ -21,9 +21,12 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,14 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._shared import materialise, partitions
+from ._shared import _LOWER, materialise, partitions
 
 CAPACITY = 2048
 END = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RUNS = "length long, rank long, number long, sequence long, each long, offset long"
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 def default_tokenizer() -> str:
@@ -47,28 +50,66 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words of these characters split into runs of letters and of other signs, whatever surrounds them: no digits,
+#: apostrophes, combining marks or special tokens.
+_SIMPLE = re.compile(r'[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]+')
+_RUNS = re.compile(r"[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[^a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
 class WordIds:
     """Ids of texts by way of their words.
 
     The vocabulary's normaliser and splitter never look across ASCII white space,
-    so a text's ids are those of its words, one after the other; repeated words are looked up.
+    so a text's ids are those of its words, one after the other; repeated words are
+    looked up. New words of plain letters and signs go to the model run by run, others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
+        hidden = [x for x in range(256) if x not in visible]
+        self.table = {x: chr(x) for x in visible} | {x: chr(256 + k) for k, x in enumerate(hidden)}
+
+    def run(self, piece: str) -> bytes:
+        if (out := self.runs.get(piece)) is None:
+            if len(self.runs) >= REMEMBERED:
+                self.runs.clear()
+            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
+            out = self.runs[piece] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known.clear()
+        hard = []
+        for word in words:
+            if _SIMPLE.fullmatch(text := word.decode()):
+                self.known[word] = b"".join(map(self.run, _RUNS.findall(text.lower())))
+            else:
+                hard.append(word)
+        for k in range(0, len(hard), 1000):
+            part = hard[k : k + 1000]
+            for word, out in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.known[word] = np.array(out.ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "replace").split()
-        known = self.known
-        if new := list(set(words).difference(known)):
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            for k in range(0, len(new), 10_000):
-                part = new[k : k + 10_000]
-                for word, out in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[word] = np.array(out.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        raw = text.encode("utf-8", "replace")
+        words = (raw if b"<|" in raw else raw.translate(_LOWER)).split()  # capitals could hide a special token
+        new = set(words).difference(self.known)
+        if new and len(self.known) + len(new) > REMEMBERED:
+            new = set(words)
+        if new:
+            self.learn(list(new))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = WordIds(tokenizer or default_tokenizer())
+        ids_of = word_ids(tokenizer or default_tokenizer())
         for batch in batches:
             rows = []
             for doc_id, value in zip(batch["doc_id"], batch["text"], strict=True):
@@ -137,6 +178,7 @@ def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, i
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
     spark = pieces.sparkSession
+    pieces = materialise(pieces, "pack-cut")  # the range sort reads its input twice
     order = ["doc_id", "piece", "start", "ids_crc32"]
     ranged = pieces.repartitionByRange(partitions(spark), "length", *order).withColumn("__part", F.spark_partition_id())
     ranged = materialise(ranged, "pack-pieces")

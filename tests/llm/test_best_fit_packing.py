@@ -20,6 +20,15 @@ def test_pieces_are_the_tokenizers_ids(odd):
         assert [r.ids_crc32 for r in parts] == [zlib.crc32(ids[k : k + 2048].tobytes()) for k in range(0, len(ids), 2048)]
 
 
+def test_words_alone_give_the_texts_ids():
+    tokenizer, own = Tokenizer.from_file(b.default_tokenizer()), b.WordIds(b.default_tokenizer())
+    alphabet = "aZ é É ß ÿ Ā ñ n\u0303 1 ½ ' 's 'LL <|endoftext|> <|EndOfText|> < | > * _ - , . \u00a0 \u2028 \x1c \x0b \n \t 漢 🙂 ² × ÷ Σ ς İ fi\u0301".split(" ") + [" ", " "]
+    rng = random.Random(3)
+    for _ in range(1500):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12)))
+        assert own(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def best_fit(lengths, capacity):
     gaps = []
     for x in sorted(lengths, reverse=True):
