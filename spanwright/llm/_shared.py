@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +47,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def remainder(id_col: str, n: int) -> Column:
+    """crc32 of an id as text, modulo ``n``; null for a null id."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
+
+
+def sampled(docs: DataFrame, wanted: DataFrame, rows: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The texts of ``wanted`` (doc_id and more), a bounded table, with its columns; of repeated ids, ``rows`` rows at most in all."""
+    rest = [c for c in wanted.columns if c != "doc_id"]
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = own.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", *rest)
+    return found.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), *rest).limit(rows)
+
+
+def blank_cut(raw: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+    """Parts of a text of about ``size`` bytes, cut at blanks only."""
+    at = 0
+    while len(raw) - at > size:
+        end = max(raw.rfind(b, at, at + size) for b in (b" ", b"\n", b"\t"))
+        if end <= at:
+            end = min((x for x in (raw.find(b, at + size) for b in (b" ", b"\n", b"\t")) if x >= 0), default=len(raw))
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
 # --- word and shingle hashes over UTF-8 bytes, vectorised -------------------------------------
 
 _RNG = np.random.default_rng(0x5EED)
@@ -84,18 +109,23 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One 64-bit hash for each word of a text, in order."""
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash, the start and the end of each word of a text, in order."""
     data = np.frombuffer(text, np.uint8)
     if not len(data):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     solid = np.zeros(len(data) + 2, np.int8)
     solid[1:-1] = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(solid))
     start, end = edge[::2], edge[1::2]
     sums = prefix_sums(data)
     inverse = powers(len(data) + 1)[1]
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), start, end
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """One 64-bit hash for each word of a text, in order."""
+    return word_places(text)[0]
 
 
 def shingle_hashes(text: str | None, width: int, lower: bool = True) -> np.ndarray:

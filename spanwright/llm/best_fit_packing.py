@@ -98,12 +98,16 @@ class WordIds:
     def __call__(self, text: str) -> np.ndarray:
         raw = text.encode("utf-8", "replace")
         words = (raw if b"<|" in raw else raw.translate(_LOWER)).split()  # capitals could hide a special token
+        return np.frombuffer(b"".join(self.of(words)), "<u4")
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit numbers."""
         new = set(words).difference(self.known)
         if new and len(self.known) + len(new) > REMEMBERED:
             new = set(words)
         if new:
             self.learn(list(new))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+        return list(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)

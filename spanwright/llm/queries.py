@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, minhash_dedup, quality_rules, source_mix, suffix_dedup, warc_legacy
-from ._shared import materialise
+from . import attention_lm, best_fit_packing, minhash_dedup, neighbour_search, quality_model, quality_rules, source_mix, suffix_dedup, toxic_spans, warc_legacy
+from ._shared import materialise, remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,16 +42,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
 
+
+def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = toxic_spans.learn(docs, labels.where(remainder("doc_id", 3) != 1).select("doc_id", (F.col("toxic") == 1).alias("toxic")))
+    rows = toxic_spans.tag(docs, chain)
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = materialise(source_mix.sizes(table(spark, sf_dir, "documents")), "mix-sizes")
     rules = source_mix.rules(sized, source_mix.targets(sized, weights=(3, 1, 2), share=1.5, limit=2.0))
     return source_mix.mix(sized, rules).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op4_neighbour_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_model.learn(docs, labels.where((remainder("doc_id", 5) != 0) & (F.col("quality") == 1)))
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return quality_model.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -85,6 +105,13 @@ SELECT page_id, payload_bytes, payload_digest,
 """
 
 
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learns = F.coalesce(remainder("doc_id", 7) != 2, F.lit(False))
+    rows = attention_lm.score(table(spark, sf_dir, "documents"), learns)
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = best_fit_packing.pieces(table(spark, sf_dir, "documents"))
     return best_fit_packing.pack(pieces)
@@ -99,10 +126,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pipeline": pipeline,
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxic_spans": op2_toxic_spans,
     "op3_source_mix": op3_source_mix,
+    "op4_neighbour_search": op4_neighbour_search,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_quality_model": op6_quality_model,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_legacy_archives": op8_legacy_archives,
+    "op9_attention_lm": op9_attention_lm,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op7_minhash_dedup": OP7_SQL, "op8_legacy_archives": OP8_SQL}
