@@ -64,7 +64,8 @@ class WordIds:
     looked up. New words of plain letters and signs go to the model run by run, others through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
@@ -75,14 +76,14 @@ class WordIds:
 
     def run(self, piece: str) -> bytes:
         if (out := self.runs.get(piece)) is None:
-            if len(self.runs) >= REMEMBERED:
+            if len(self.runs) >= self.remembered:
                 self.runs.clear()
             written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
             out = self.runs[piece] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
         return out
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
+        if len(self.known) + len(words) > self.remembered:
             self.known.clear()
         hard = []
         for word in words:
@@ -103,7 +104,7 @@ class WordIds:
     def of(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit numbers."""
         new = set(words).difference(self.known)
-        if new and len(self.known) + len(new) > REMEMBERED:
+        if new and len(self.known) + len(new) > self.remembered:
             new = set(words)
         if new:
             self.learn(list(new))
@@ -111,9 +112,9 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
     """One for each worker process."""
-    return WordIds(path)
+    return WordIds(path, remembered)
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
