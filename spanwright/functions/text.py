@@ -88,7 +88,10 @@ def loop_tokens(text: Column) -> Column:
 
 def repeated_trigrams(text: Column) -> Column:
     """How often the most frequent sequence of three tokens occurs (longer sequences never occur more often)."""
-    toks = loop_tokens(text)
+    return F.transform(F.array(loop_tokens(text)), _most_repeated)[0]  # the tokens are found once, not for each place
+
+
+def _most_repeated(toks: Column) -> Column:
     grams = F.transform(toks, lambda t, i: F.when(i + 2 < F.size(toks), F.xxhash64(t, F.get(toks, i + 1), F.get(toks, i + 2))))
     ordered = F.array_sort(F.filter(grams, lambda g: g.isNotNull()))
     runs = F.aggregate(
