@@ -34,7 +34,7 @@ from .suffix_array import common_prefix_reaches, suffix_array
 
 LENGTH, GRAM = 200, 48
 #: Bytes of one shard, about, and of one buffer of texts.
-SHARD, BUFFER = 2_000_000, 4_000_000
+SHARD, BUFFER = 2_000_000, 750_000
 CONTEXTS = "row long, start int, windows int, anchor long, context long"
 _PLACE = np.uint64((1 << 24) - 1)
 
