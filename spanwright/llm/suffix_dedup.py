@@ -7,10 +7,14 @@
    all equal hold nothing but repeated windows. Both need no sort (``repeated``).
 3. The distinct contexts of all other anchors go to shards by anchor. Each shard is sorted by
    ``suffix_array``; the common prefixes of neighbours tell which windows occur again (``sort_shards``).
+   An anchor whose contexts have more than ``SHARD`` bytes is hot: its windows are counted instead (``count_windows``).
+   Windows of ``BLOCK`` neighbouring anchor offsets have the bytes between the last start and the
+   first end in common; where no other context has these, none of the windows recurs. The rest are
+   counted by 128-bit hashes, so that no task holds all contexts of an anchor.
 4. Verdicts go back to the documents, which lose the bytes that repeated windows cover.
 
 What is shuffled is a row for every 70 bytes or so, then only the texts that a verdict concerns.
-A context is at most 352 bytes; a shard holds about ``SHARD`` bytes and is not split below one anchor.
+A context is at most 352 bytes; a shard holds about ``SHARD`` bytes.
 
 Defined results: a null text is empty; texts below 200 bytes stay; rows that repeat a document are
 copies of each other, so what has 200 bytes goes from all of them; an empty table gives an empty table;
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +40,10 @@ from .suffix_array import common_prefix_reaches, suffix_array
 LENGTH, GRAM = 200, 48
 #: Bytes of one shard, about, and of one buffer of texts.
 SHARD, BUFFER = 2_000_000, 750_000
+#: Anchor offsets whose windows are ruled out together, and parts into which equal keys of a join are dealt.
+BLOCK, SALTS = 16, 64
 CONTEXTS = "row long, start int, windows int, anchor long, context long"
+VERDICTS = "anchor long, context long, first int, number int"
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -131,6 +139,72 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(*rest, "text").mapInPandas(squeeze, schema)
 
 
+def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    """Start and length of the runs of set flags."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return [(int(x), int(y - x)) for x, y in zip(edge[::2], edge[1::2], strict=True)]
+
+
+def _again(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys occur more than once; rows of one key are dealt by their context."""
+    rows = rows.withColumn("salt", F.pmod("context", F.lit(SALTS)))
+    seen = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
+    return rows.join(seen.select(*keys, F.explode("salts").alias("salt")), [*keys, "salt"], "left_semi").drop("salt")
+
+
+def anchor_place(raw: bytes) -> int:
+    """Where the anchor of a context's windows begins in the context."""
+    data = np.frombuffer(raw[:LENGTH], np.uint8)
+    sums = prefix_sums(data)
+    gram = mix((sums[GRAM:] - sums[:-GRAM]) * powers(len(data) + 1)[1][: len(data) - GRAM + 1])
+    return int((gram & ~_PLACE).argmin())
+
+
+def count_windows(cuts: DataFrame) -> DataFrame:
+    """anchor, context, first, number like ``sort_shards``, of the contexts in ``cuts`` (anchor, context, again, bytes)."""
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for a, c, raw in zip(batch["anchor"], batch["context"], batch["bytes"], strict=True):
+                at, last = anchor_place(raw), len(raw) - LENGTH
+                for b in range((at - last) // BLOCK, at // BLOCK + 1):
+                    low, high = b * BLOCK, min(b * BLOCK + BLOCK - 1, LENGTH - GRAM)
+                    core = xxhash.xxh3_64_intdigest(raw[at - low : at + LENGTH - high])
+                    out.append((a, c, b, core - (1 << 63), max(at - high, 0), min(at - low, last) + 1))
+            yield pd.DataFrame(out, columns=["anchor", "context", "block", "core", "begin", "end"])
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for a, c, raw, some in zip(batch["anchor"], batch["context"], batch["bytes"], batch["some"], strict=True):
+                out += [(a, c, k, xxhash.xxh3_128_digest(raw[k : k + LENGTH])) for s in some for k in range(s["begin"], s["end"])]
+            yield pd.DataFrame(out, columns=["anchor", "context", "place", "window"])
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for a, c, places in zip(batch["anchor"], batch["context"], batch["places"], strict=True):
+                flags = np.zeros(LENGTH, bool)
+                flags[places] = True
+                out += [(a, c, *run) for run in _runs(flags)]
+            yield pd.DataFrame(out, columns=["anchor", "context", "first", "number"])
+
+    parts = materialise(cuts.select("anchor", "context", "bytes").mapInPandas(blocks, "anchor long, context long, block int, core long, begin int, end int"), "suffix-blocks")
+    left = _again(parts, "anchor", "block", "core").groupBy("anchor", "context").agg(F.collect_list(F.struct("begin", "end")).alias("some"))
+    each = cuts.join(left, ["anchor", "context"]).select("anchor", "context", "bytes", "some")
+    each = materialise(each.mapInPandas(windows, "anchor long, context long, place int, window binary"), "suffix-windows")
+    places = _again(each, "window").groupBy("anchor", "context").agg(F.collect_list("place").alias("places"))
+    runs = places.join(cuts.where("again").select("anchor", "context"), ["anchor", "context"], "left_anti").mapInPandas(joined, VERDICTS)
+    whole = cuts.where("again").select("anchor", "context", F.lit(0).alias("first"), (F.length("bytes") - LENGTH + 1).alias("number"))
+    return runs.unionByName(whole)
+
+
+def hot_anchors(one: DataFrame) -> DataFrame:
+    """The anchors whose distinct contexts have more bytes than a shard."""
+    return one.groupBy("anchor").agg(F.sum(F.col("windows") + LENGTH).alias("bytes")).where(F.col("bytes") > SHARD).select("anchor", F.lit(True).alias("hot"))
+
+
 def sort_shards(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """anchor, context, first, number: runs of repeated windows in the mixed contexts.
 
@@ -138,7 +212,12 @@ def sort_shards(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """
     one = mixed.groupBy("anchor", "context").agg(F.min(F.struct("row", "start", "windows")).alias("o"), F.count("*").alias("copies"))
     one = materialise(one.select("anchor", "context", "o.*", "copies"), "suffix-contexts")
-    wanted = one.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "anchor", "context", "copies")).alias("spans"))
+    hot = materialise(hot_anchors(one), "suffix-hot")
+    some_hot = bool(hot.head(1))
+    # there is at most one hot anchor for each ``SHARD`` bytes
+    one = one.join(F.broadcast(hot), "anchor", "left") if some_hot else one.withColumn("hot", F.lit(None).cast("boolean"))
+    one = one.withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = one.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "anchor", "context", "copies", "hot")).alias("spans"))
     total = one.agg(F.sum(F.col("windows") + LENGTH)).head()[0] or 0
     texts = docs.join(wanted, "row")
 
@@ -146,9 +225,13 @@ def sort_shards(docs: DataFrame, mixed: DataFrame) -> DataFrame:
         for batch in batches:
             for text, spans in zip(batch["packed"], batch["spans"], strict=True):
                 raw = _unpack(text)
-                yield pd.DataFrame([(s["anchor"], s["context"], s["copies"] > 1, raw[s["start"] : s["start"] + s["windows"] + LENGTH - 1]) for s in spans], columns=["anchor", "context", "again", "bytes"])
+                yield pd.DataFrame([(s["anchor"], s["context"], s["copies"] > 1, s["hot"], raw[s["start"] : s["start"] + s["windows"] + LENGTH - 1]) for s in spans], columns=["anchor", "context", "again", "hot", "bytes"])
 
-    cuts = texts.select("packed", "spans").mapInPandas(cut, "anchor long, context long, again boolean, bytes binary")
+    cuts = texts.select("packed", "spans").mapInPandas(cut, "anchor long, context long, again boolean, hot boolean, bytes binary")
+    if some_hot:
+        cuts = materialise(cuts, "suffix-cuts")
+        counted = count_windows(materialise(cuts.where("hot").dropDuplicates(["anchor", "context"]), "suffix-hot-cuts"))
+        cuts = cuts.where("not hot")
     # rows that repeat a document gave the same occurrence
     cuts = cuts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-int(total) // SHARD))))).dropDuplicates(["shard", "anchor", "context"])
 
@@ -164,12 +247,11 @@ def sort_shards(docs: DataFrame, mixed: DataFrame) -> DataFrame:
         rows = []
         for a, c, again, b, s in zip(part["anchor"], part["context"], part["again"], begin, sizes, strict=True):
             n = s - LENGTH + 1
-            own = flags[b : b + n] | again
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
-            rows += [(a, c, int(x), int(y - x)) for x, y in zip(edge[::2], edge[1::2], strict=True)]
+            rows += [(a, c, *run) for run in _runs(flags[b : b + n] | again)]
         return pd.DataFrame(rows, columns=["anchor", "context", "first", "number"])
 
-    return cuts.groupBy("shard").applyInPandas(sort, "anchor long, context long, first int, number int")
+    found = cuts.groupBy("shard").applyInPandas(sort, VERDICTS)
+    return found.unionByName(counted) if some_hot else found
 
 
 def spans(docs: DataFrame) -> DataFrame:

@@ -59,6 +59,28 @@ def test_long_texts_go_in_parts(documents, monkeypatch):
     assert [x[1:] for x in sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in d.report(documents(*enumerate(texts))).collect())] == list(brute(texts))
 
 
+def test_hot_anchors_are_counted(documents, monkeypatch):
+    monkeypatch.setattr(d, "SHARD", 3000)
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    long, short = prose(700), prose(150)
+    around = [prose(120) for _ in range(4)]
+    texts = planted() + [prose(rng.randint(0, 90)) + rng.choice(around) + p + rng.choice(around) + prose(rng.randint(0, 90)) for p in [long, short] * 25]
+    texts += [prose(150) + p + prose(150) for p in [long, short] * 25]
+    docs = documents(*enumerate(texts))
+    hot = []
+    real = d.count_windows
+
+    def counted(cuts):
+        hot.append(cuts.groupBy("anchor").count().count())
+        return real(cuts)
+
+    monkeypatch.setattr(d, "count_windows", counted)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in d.report(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == list(brute(texts))
+    assert hot and hot[0] > 1
+
+
 def test_odd_rows(odd):
     wide = odd.withColumn("row", odd.doc_id).withColumn("spans", odd.text)
     assert d.remove_repeats(wide).columns == wide.columns
