@@ -10,8 +10,9 @@
    of all others.
 4. The sketch of the union estimates the similarity; what is clearly below the
    threshold goes. Exact Jaccard on full sets confirms the rest.
-5. Connected components. Long lists that still hold several components then meet
-   in full, nodes outside a list's largest component against all others, through steps 4 and 5 again, so no link is lost to the leaders.
+5. Connected components. The nodes of long lists that still hold several components then meet by
+   their full sets: two sets that reach the threshold share one of the rarest shingles of each, at a place that
+   leaves enough shingles for the overlap (``_unmet``). Such pairs go through steps 4 and 5 again, so no link is lost to the leaders.
 
 At similarity 0.85 a pair shares about 34 of 40 retained values; that fewer than the needed ones are
 shared has a probability below 1e-5.
@@ -44,6 +45,8 @@ SHARED = 0.55
 #: Longest list whose members all meet.
 SHORT = 24
 LEADERS = 3
+#: Members of a long list that one task holds.
+BLOCK = 1000
 SKETCHES = "doc_id long, tkey long, n_shingles long, node long, sketch array<long>"
 SETS = "node long, shingles array<long>"
 
@@ -127,15 +130,38 @@ def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int,
     return common.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
-def _unmet(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b of nodes of different components in one long list, one of them outside the list's largest component."""
-    long = entries.where(f"length > {SHORT}").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = long.groupBy("value", "band", "label").count()
-    most = sizes.groupBy("value", "band").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = long.join(most, ["value", "band"])
-    left = mixed.where("label <> most").select("value", "band", F.col("node").alias("n"), F.col("own").alias("o"), F.col("label").alias("l"))
-    pairs = left.join(mixed.select("value", "band", "node", "own", "label"), ["value", "band"]).where("label <> l and (own or o)")
-    return pairs.select(F.least("n", "node").alias("a"), F.greatest("n", "node").alias("b")).distinct()
+def _unmet(docs: DataFrame, nodes: DataFrame, entries: DataFrame, labels: DataFrame, percent: int, width: int) -> DataFrame:
+    """a, b of nodes of different components, both in long lists of several components, whose full sets can reach the threshold.
+
+    The shingles of each set are ranked, rarest first. Behind the first one that two sets share, at rank p
+    (from 0) in a set of n, their overlap is at most n - p; the overlap they need follows from both sizes. So a set meets others
+    only under its first ranks, and the smaller of two sets only under the first ranks that leave it enough for its own size.
+    """
+    long = entries.where(f"length > {SHORT}").select("value", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = long.groupBy("value", "band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    members = materialise(long.join(several, ["value", "band"], "left_semi").select("node", "label").distinct(), "near-members")
+    sets = materialise(full_sets(docs, members.join(nodes.select("node", "doc_id", "tkey"), "node"), width), "near-member-sets")
+    each = sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    seen = each.groupBy("shingle").agg(F.count("*").alias("count")).where("count > 1")
+    ranked = each.join(seen, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("v"))
+    # shingles of no other set come first
+    ranked = ranked.select("node", "n", (F.col("n") - F.size("v")).alias("own"), F.posexplode("v").alias("at", "v"))
+    ranked = ranked.select("node", "n", (F.col("own") + F.col("at")).alias("p"), "v.shingle", "v.count").where(f"100 * (n - p) >= {percent} * n")
+    ranked = ranked.join(members, "node")
+    about = ranked.groupBy("shingle", "label").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("labels"), F.sum("k").alias("length")).where("labels > 1")
+    # a long list is dealt to several tasks
+    ranked = ranked.join(about.select("shingle", "most", F.ceil(F.col("length") / BLOCK).alias("salts")), "shingle")
+    ranked = materialise(ranked.withColumn("salt", F.pmod(F.xxhash64("node"), "salts")), "near-ranked")
+    small = ranked.where(f"(n - p) * {100 + percent} >= {2 * percent} * n")
+
+    def side(rows: DataFrame, x: str, spread: bool) -> DataFrame:
+        salt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)) if spread else F.col("salt")
+        return rows.select("shingle", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("label").alias(f"l{x}"), salt.alias("salt"))
+
+    able = f"la <> lb and na <= nb and 100 * na >= {percent} * nb and least(na - pa, nb - pb) * {100 + percent} >= {percent} * (na + nb)"
+    outside = side(small.where("label <> most"), "a", True).join(side(ranked, "b", False), ["shingle", "salt"]).where(able)
+    inside = side(small.where("label = most"), "a", False).join(side(ranked.where("label <> most"), "b", True), ["shingle", "salt"]).where(able)
+    return outside.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -149,7 +175,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     entries = materialise(entries.join(about, ["value", "band"]), "near-entries")
     links = materialise(_confirm(docs, nodes, _short_pairs(entries).union(_leader_pairs(entries)).distinct(), percent, width), "near-links")
     labels = components(links)
-    more = materialise(_unmet(entries, labels), "near-unmet")
+    more = materialise(_unmet(docs, nodes, entries, labels, percent, width), "near-unmet")
     if more.head(1):
         late = materialise(_confirm(docs, nodes, more, percent, width), "near-links")
         if late.head(1):

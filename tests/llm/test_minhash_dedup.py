@@ -42,6 +42,27 @@ def test_matches_brute_force(documents):
     assert [got[k] for k in range(len(texts))] == brute(texts, 85, 3)
 
 
+def test_different_documents_of_a_template_make_no_pairs(documents, monkeypatch):
+    rng = random.Random(3)
+    words = lambda n, of: [f"{of}{rng.randrange(10**9)}" for _ in range(n)]
+    first, last = words(80, "t"), words(80, "t")
+    texts = [" ".join(first + words(rng.randint(24, 28), "o") + last) for _ in range(120)]
+    texts += [t + " more" for t in texts[:5]]  # these have a partner
+    found = {}
+    real = m.materialise
+
+    def counted(df, name):
+        out = real(df, name)
+        found[name] = max(found.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(m, "materialise", counted)
+    monkeypatch.setattr(m, "BLOCK", 10)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.near_duplicates(documents(*enumerate(texts)), 80, 5).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts, 80, 5)
+    assert found["near-lists"] and found["near-unmet"] <= len(texts)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99), (99, 98), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}
