@@ -5,8 +5,9 @@
 2. Symbols have classes by frequency: the most frequent are a class each, the others share classes of like
    mass. P(symbol | context) = P(class | context) * P(symbol | class); the second factor
    comes from the counts, the first from the attention model.
-3. The model trains in rounds: each partition of a fixed share of the training windows descends on its own
-   from the same weights, then weights are averaged. More input means more windows, in more partitions.
+3. The model trains on the windows of all training documents, equal ones as one with a weight. It trains in rounds, each
+   on its share of the windows: every partition descends on its own from the same weights, batch by batch, then weights
+   are averaged. Windows with many copies are dealt to several rounds and partitions.
 4. Whole texts are cut into overlapping windows; every symbol is scored once, with at least ``WINDOW - STRIDE``
    symbols of context where there are so many, in batches of masked attention.
 5. A word's probability is that of its first symbol's class, times its share in the corpus among the words that
@@ -41,8 +42,8 @@ DISCOUNT = 0.75
 SINGLE, SHARED = 200, 24
 CLASSES = SINGLE + SHARED
 WINDOW, STRIDE, WIDTH, INNER = 32, 24, 16, 32
-#: Share of the training documents whose windows train the model: one in so many.
-ONE_IN = 48
+#: Copies of a window that one row stands for, at most.
+COPIES = 16
 ROUNDS, BATCH, LEAST_STEPS = 4, 128, 120
 #: Words whose counts every task holds.
 HEAD = 1 << 18
@@ -184,41 +185,56 @@ def start(classes: np.ndarray, seed: int = 7) -> Weights:
     return w | {"ab": np.zeros(INNER, np.float32), "ob": classes.astype(np.float32)}
 
 
+def _shift(z: np.ndarray) -> None:
+    """Lowers the rows whose exponentials would be too large, whatever the other rows are."""
+    if z.max(initial=0) > 60:
+        high = z.max(-1, keepdims=True)
+        z -= np.where(high > 60, high, 0)
+
+
 def _hidden(w: Weights, x: np.ndarray, first: int = 0) -> dict[str, np.ndarray]:
-    """Layers at each place from ``first`` on; ``x``: windows of classes, all ``WINDOW`` long."""
-    n, steps = len(x), WINDOW - first
+    """Layers at each place from ``first`` on; ``x``: windows of classes, all ``WINDOW`` long.
+
+    Products go window by window: a row's last bits depend on its place in a product, and equal windows are to get equal numbers.
+    """
     h = w["e"][x] + w["p"]
-    flat, late = h.reshape(-1, WIDTH), np.ascontiguousarray(h[:, first:]).reshape(-1, WIDTH)
-    q, k, v = (late @ w["q"]).reshape(n, steps, WIDTH), (flat @ w["k"]).reshape(n, WINDOW, WIDTH), (flat @ w["v"]).reshape(n, WINDOW, WIDTH)
+    late = np.ascontiguousarray(h[:, first:])
+    q, k, v = late @ w["q"], h @ w["k"], h @ w["v"]
     s = q @ k.transpose(0, 2, 1)
     s *= np.float32(1 / math.sqrt(WIDTH))
     s += _MASK[first:]
-    if s.max() > 60:  # else their exponentials need no shift
-        s -= s.max(-1, keepdims=True)
+    _shift(s)
     np.exp(s, out=s)
     s /= s.sum(-1, keepdims=True)
-    mixed = late + (s @ v).reshape(-1, WIDTH)
+    mixed = late + s @ v
     inner = np.maximum(mixed @ w["a"] + w["ab"], 0)
-    return {"h": h, "q": q, "k": k, "v": v, "s": s, "mixed": mixed, "inner": inner, "last": mixed + inner @ w["b"]}
+    last = mixed + inner @ w["b"]
+    return {"h": h, "q": q, "k": k, "v": v, "s": s, "mixed": mixed.reshape(-1, WIDTH), "inner": inner.reshape(-1, INNER), "last": last.reshape(-1, WIDTH)}
 
 
-def descend(w: Weights, windows: np.ndarray, steps: int, seed: int, rate: float) -> Weights:
-    """Adam on ``windows``: rows of ``WINDOW + 1`` classes, negative where there is none."""
-    rng = np.random.default_rng(seed)
-    w = {k: v.copy() for k, v in w.items()}
-    first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-    for step in range(1, steps + 1):
-        rows = windows[rng.integers(0, len(windows), BATCH)]
-        x, y = np.maximum(rows[:, :-1], 0), rows[:, 1:]
+class Descent:
+    """Adam, step by step; the rate falls to a tenth over ``steps``."""
+
+    def __init__(self, w: Weights, steps: int, rate: float) -> None:
+        self.w = {k: v.copy() for k, v in w.items()}
+        self.first, self.second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+        self.steps, self.rate, self.done = steps, rate, 0
+
+    def step(self, rows: np.ndarray, weight: np.ndarray) -> None:
+        """``rows`` of ``WINDOW + 1`` classes, negative where there is none, with their weights."""
+        self.done += 1
+        w, first, second, step = self.w, self.first, self.second, self.done
+        rate = self.rate * max(0.1, 1 - 0.9 * step / self.steps)
+        x, y = np.maximum(rows[:, :-1], 0).astype(np.int64), rows[:, 1:]
         c = _hidden(w, x)
         z = c["last"] @ w["o"] + w["ob"]
         z -= z.max(-1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(-1, keepdims=True)
-        real = y.ravel() >= 0
+        real = np.where(y >= 0, weight[:, None], 0).astype(np.float32).ravel()
         at = np.flatnonzero(real)
         z[at, y.ravel()[at]] -= 1
-        z *= real[:, None] / np.float32(max(len(at), 1))
+        z *= (real / max(real.sum(), np.float32(1e-9)))[:, None]
         flat = lambda a: a.reshape(-1, a.shape[-1])
         g = {"ob": z.sum(0), "o": c["last"].T @ z}
         d_last = z @ w["o"].T
@@ -233,13 +249,20 @@ def descend(w: Weights, windows: np.ndarray, steps: int, seed: int, rate: float)
             g[name] = flat(c["h"]).T @ flat(d)
         d_h = d_mixed + d_q @ w["q"].T + d_k @ w["k"].T + d_v @ w["v"].T
         g["p"] = d_h.sum(0)
-        g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], x.ravel(), flat(d_h))
+        cell = x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        g["e"] = np.bincount(cell.ravel(), d_h.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH).astype(np.float32)
         for name, grad in g.items():
             first[name] = 0.9 * first[name] + 0.1 * grad
             second[name] = 0.99 * second[name] + 0.01 * grad * grad
-            w[name] -= (rate * (1 - 0.9 * step / steps) * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return w
+            w[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+
+
+def descend(w: Weights, windows: np.ndarray, steps: int, seed: int, rate: float) -> Weights:
+    """The weights after ``steps`` batches drawn from ``windows``."""
+    rng, descent = np.random.default_rng(seed), Descent(w, steps, rate)
+    for _ in range(steps):
+        descent.step(windows[rng.integers(0, len(windows), BATCH)], np.ones(BATCH))
+    return descent.w
 
 
 def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,28 +301,44 @@ def train(docs: DataFrame, vocab: Vocabulary, tokenizer: str | None = None, roun
             texts = list(batch["text"])
             for part in groups(texts):
                 classes, lengths = _laid_out(cut(texts[part], ids_of), of)
-                yield pd.DataFrame({"w": list(_taken(classes, *windows_of(lengths)[:2]).astype(np.int16))})
-
-    windows = docs.select("text").mapInPandas(windows_in, "w array<short>")
-    windows = materialise(windows.repartition(partitions(spark), F.xxhash64("w")), "lm-windows")
+                yield pd.DataFrame({"w": [x.tobytes() for x in _taken(classes, *windows_of(lengths)[:2]).astype("<i2")]})
+
+    windows = docs.select("text").mapInPandas(windows_in, "w binary").groupBy("w").agg(F.count("*").alias("n"))
+    rows = F.ceil(F.col("n") / COPIES)
+    windows = windows.select("w", (F.col("n") / rows).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("copy"))
+    windows = windows.select("w", "n", F.pmod(F.hash("w", "copy"), F.lit(rounds)).alias("round"), F.xxhash64("w", "copy").alias("deal"))
+    windows = materialise(windows.repartition(partitions(spark), "deal").sortWithinPartitions("deal").drop("deal"), "lm-windows")
+    steps = max(LEAST_STEPS, windows.count() // (rounds * partitions(spark) * BATCH))
     w = start(vocab.classes)
     names = list(_SHAPES)
     for k in range(rounds):
         now = w
 
         def step(batches: Iterator[pd.DataFrame], now: Weights = now, k: int = k) -> Iterator[pd.DataFrame]:
-            parts = [np.stack(b["w"].to_numpy()) for b in batches if len(b)]
-            if not parts:
+            rng, descent = np.random.default_rng(k), Descent(now, steps, 0.01 * 0.5**k)
+            kept, held, weight = [], 0, 0.0
+            for batch in batches:
+                own, n = np.frombuffer(b"".join(batch["w"]), "<i2").reshape(-1, WINDOW + 1), batch["n"].to_numpy()
+                order = rng.permutation(len(own))
+                for at in range(0, len(own), BATCH):
+                    descent.step(own[order[at : at + BATCH]], n[order[at : at + BATCH]])
+                weight += n.sum()
+                if held < LEAST_STEPS * BATCH:
+                    kept.append((own, n))
+                    held += len(own)
+            if not held:
                 return
-            own = np.concatenate(parts)
-            new = descend(now, own, max(LEAST_STEPS, len(own) // BATCH), k, 0.01 * 0.5**k)
-            flat = np.concatenate([new[n].ravel() for n in names])
-            yield pd.DataFrame({"place": np.arange(len(flat)), "value": flat.astype(np.float64), "weight": float(len(own))})
-
-        moved = windows.mapInPandas(step, "place int, value double, weight double")
+            own, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+            while descent.done < LEAST_STEPS:  # few windows are trained on again
+                some = rng.integers(0, len(own), BATCH)
+                descent.step(own[some], n[some])
+            flat = np.concatenate([descent.w[name].ravel() for name in names])
+            yield pd.DataFrame({"place": np.arange(len(flat)), "value": flat.astype(np.float64), "weight": weight})
+
+        moved = windows.where(F.col("round") == k).select("w", "n").mapInPandas(step, "place int, value double, weight double")
         mean = moved.groupBy("place").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value")).orderBy("place").toPandas()  # one row for each weight
         if not len(mean):
-            break
+            continue
         flat, at, w = mean["value"].to_numpy(np.float32), 0, {}
         for n in names:
             size = math.prod(_SHAPES[n])
@@ -332,13 +371,12 @@ def log_probabilities(c: Cut, known: np.ndarray, w: Weights, vocab: Vocabulary)
             y = taken[:, 1 + first :].ravel()
             need = np.flatnonzero(y >= 0)
             need = need[wanted[place[need]]]
-            z = last[need] @ w["o"]
+            z = (last.reshape(len(own), -1, WIDTH) @ w["o"]).reshape(-1, CLASSES)
             z += w["ob"]
-            if z.max(initial=0) > 60:
-                z -= z.max(-1, keepdims=True)
-            got = z[np.arange(len(need)), y[need]]
+            _shift(z)
+            got = z[need, y[need]]
             np.exp(z, out=z)
-            out[place[need]] = got - np.log(z.sum(-1))
+            out[place[need]] = got - np.log(z.sum(-1)[need])
     by_class, each = np.delete(out, starts + np.arange(len(starts))), vocab.inside[c.symbols].astype(np.float64)
     each += by_class
     each[first_symbol] -= by_class[first_symbol]
@@ -392,8 +430,7 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text: str = "
     for r in found.where("kind = 0").groupBy("first").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas().itertuples():  # the same
         starts[r.first], kinds[r.first] = r.n, r.kinds
     vocab = vocabulary(symbols, starts, kinds)
-    share = training.where(F.pmod(F.xxhash64("text"), F.lit(ONE_IN)) == 0)
-    w = train(share, vocab, tokenizer)
+    w = train(training, vocab, tokenizer)
     head = words.orderBy(F.desc("n"), "word").limit(HEAD).toPandas().sort_values("word")
     rows = materialise(_scan(own, w, vocab, head["word"].to_numpy(np.int64), head["n"].to_numpy(np.int64), tokenizer), "lm-scored")
     tail = rows.select("row", F.explode(F.arrays_zip("tail", "parts")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.parts").cast("double").alias("parts"))

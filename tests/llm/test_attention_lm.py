@@ -78,6 +78,27 @@ def test_gradient_and_training_lower_the_loss():
     assert loss(m.descend(w, windows, 60, 0, 0.01)) < 0.5 * loss(w)
 
 
+def test_all_training_documents_train_the_model(spark, documents, monkeypatch):
+    seen = {}
+    real = m.materialise
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "lm-windows":
+            seen["weight"], seen["most"], seen["rounds"] = out.agg(F.sum("n"), F.max("n"), F.countDistinct("round")).head()
+        return out
+
+    monkeypatch.setattr(m, "materialise", counted)
+    rng = np.random.default_rng(3)
+    texts = [text(rng, 40) for _ in range(6)] + ["the cat, sat on a mat."] * 100
+    n = np.ones(m.SYMBOLS)
+    vocab = m.vocabulary(n, n, n)
+    w = m.train(documents(*enumerate(texts)), vocab)
+    lengths = m._laid_out(m.cut(texts, word_ids(default_tokenizer())), vocab.of)[1]
+    assert seen["weight"] == pytest.approx(len(m.windows_of(lengths)[0])) and seen["most"] <= m.COPIES and seen["rounds"] > 1
+    assert np.abs(w["o"]).max() > 0
+
+
 def test_odd_rows(odd):
     rows = m.score(odd, F.col("doc_id").isNotNull()).collect()
     assert len(rows) == odd.count() and all(r.score < 0 and r.base_score < 0 for r in rows)
