@@ -11,8 +11,8 @@
 4. Whole texts are cut into overlapping windows; every symbol is scored once, with at least ``WINDOW - STRIDE``
    symbols of context where there are so many, in batches of masked attention.
 5. A word's probability is that of its first symbol's class, times its share in the corpus among the words that
-   begin in this class, less a discount of ``DISCOUNT`` counts; what discounts set free goes to the product over the
-   word's symbols. Counts of the ``HEAD`` most frequent words are at hand in the scan; all other words meet
+   begin in this class, less a discount of ``DISCOUNT`` counts; what discounts set free goes, for known words too, to the
+   product over the word's symbols. Counts of the ``HEAD`` most frequent words are at hand in the scan; all other words meet
    their counts in a join.
 
 Defined results: a null or empty text is the end mark alone; repeated rows get equal scores;
@@ -53,7 +53,7 @@ REMEMBERED = 250_000
 CHUNK = 64
 _HASH_END = -0x5B1D  # the end mark as a word
 
-SCORED = "row long, doc_id long, n_tokens long, head_known long, head_sum double, head_lm double, tail array<long>, parts array<float>"
+SCORED = "row long, doc_id long, n_tokens long, head_known long, head_sum double, head_lm double, tail array<long>, parts array<double>"
 
 
 @dataclass(frozen=True)
@@ -347,19 +347,16 @@ def train(docs: DataFrame, vocab: Vocabulary, tokenizer: str | None = None, roun
     return w
 
 
-def log_probabilities(c: Cut, known: np.ndarray, w: Weights, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word: log probability of its class, divided by the words of the class; and what it would count in its
-    class if it was not seen. Natural logarithms.
+def log_probabilities(c: Cut, counted: np.ndarray, w: Weights, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word: log probability of its class, divided by the words of the class; and what it counts in its
+    class: ``counted``, its count less the discount (0 if it is not known here), and its share of the discounts. Natural logarithms.
 
-    Every symbol is scored once, but those inside ``known`` words, whose probability is all recall.
+    Every symbol of every word is scored once.
     """
     classes, lengths = _laid_out(c, vocab.of)
     begin, end, firsts = windows_of(lengths)
     first_symbol = np.cumsum(c.sizes) - c.sizes
-    wanted = np.repeat(~known, c.sizes)
-    wanted[first_symbol] = True
     starts = np.cumsum(lengths) - lengths
-    wanted = np.insert(wanted, starts, False)
     out = np.zeros(len(classes), np.float32)
     for first in (0, WINDOW - STRIDE):
         rows = np.flatnonzero(firsts == first)
@@ -370,7 +367,6 @@ def log_probabilities(c: Cut, known: np.ndarray, w: Weights, vocab: Vocabulary)
             place = (begin[own, None] + np.arange(1 + first, WINDOW + 1)).ravel()
             y = taken[:, 1 + first :].ravel()
             need = np.flatnonzero(y >= 0)
-            need = need[wanted[place[need]]]
             z = (last.reshape(len(own), -1, WIDTH) @ w["o"]).reshape(-1, CLASSES)
             z += w["ob"]
             _shift(z)
@@ -381,7 +377,9 @@ def log_probabilities(c: Cut, known: np.ndarray, w: Weights, vocab: Vocabulary)
     each += by_class
     each[first_symbol] -= by_class[first_symbol]
     kind = vocab.of[c.symbols[first_symbol]]
-    return by_class[first_symbol] - vocab.log_words[kind], np.add.reduceat(each, first_symbol) + vocab.log_free[kind]
+    parts = np.add.reduceat(each, first_symbol) + vocab.log_free[kind]
+    with np.errstate(divide="ignore"):
+        return by_class[first_symbol] - vocab.log_words[kind], np.logaddexp(np.log(counted), parts)
 
 
 # --- scoring ---------------------------------------------------------------------------------------
@@ -393,7 +391,7 @@ def _scan(docs: DataFrame, w: Weights, vocab: Vocabulary, head: np.ndarray, head
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of = word_ids(tokenizer or default_tokenizer(), REMEMBERED)
         logs = np.log10(head_n + 1.0)
-        least = np.log(head_n - DISCOUNT)
+        least = np.append(head_n - DISCOUNT, 0.0)
         for batch in batches:
             every = list(batch["text"])
             for which in groups(every):
@@ -402,7 +400,7 @@ def _scan(docs: DataFrame, w: Weights, vocab: Vocabulary, head: np.ndarray, head
                 place = np.minimum(np.searchsorted(head, c.keys), max(len(head) - 1, 0))
                 hit = head[place] == c.keys if len(head) else np.zeros(len(c.keys), bool)
                 place, hit = place[c.place], hit[c.place]
-                by_class, unseen = log_probabilities(c, hit, w, vocab)
+                by_class, weight = log_probabilities(c, np.where(hit, least[place], 0.0), w, vocab)
                 of = np.repeat(np.arange(len(texts)), c.texts)
                 own = place[hit]
                 in_head = lambda x, of=of, hit=hit, n=len(texts): np.bincount(of[hit], x, n)
@@ -410,8 +408,8 @@ def _scan(docs: DataFrame, w: Weights, vocab: Vocabulary, head: np.ndarray, head
                 yield pd.DataFrame({
                     "row": part["row"].to_numpy(), "doc_id": part["doc_id"].astype("Int64").array, "n_tokens": c.texts,
                     "head_known": in_head(None).astype(np.int64), "head_sum": in_head(logs[own]),
-                    "head_lm": np.bincount(of, by_class, len(texts)) + in_head(least[own]),
-                    "tail": np.split(c.keys[c.place[~hit]], ends), "parts": np.split(unseen[~hit].astype(np.float32), ends),
+                    "head_lm": np.bincount(of, by_class, len(texts)) + in_head(weight[hit]),
+                    "tail": np.split(c.keys[c.place[~hit]], ends), "parts": np.split(weight[~hit], ends),
                 })
 
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInPandas(scan, SCORED)
@@ -433,7 +431,7 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text: str = "
     w = train(training, vocab, tokenizer)
     head = words.orderBy(F.desc("n"), "word").limit(HEAD).toPandas().sort_values("word")
     rows = materialise(_scan(own, w, vocab, head["word"].to_numpy(np.int64), head["n"].to_numpy(np.int64), tokenizer), "lm-scored")
-    tail = rows.select("row", F.explode(F.arrays_zip("tail", "parts")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.parts").cast("double").alias("parts"))
+    tail = rows.select("row", F.explode(F.arrays_zip("tail", "parts")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.parts").alias("parts"))
     lm = F.when(F.col("n").isNull(), F.col("parts")).otherwise(F.log(F.col("n") - DISCOUNT + F.exp("parts")))
     met = tail.join(words, "word", "left").groupBy("row").agg(F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("sum"), F.sum(lm).alias("lm"))
     rows = rows.drop("tail", "parts").join(met, "row", "left")

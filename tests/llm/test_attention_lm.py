@@ -99,6 +99,22 @@ def test_all_training_documents_train_the_model(spark, documents, monkeypatch):
     assert np.abs(w["o"]).max() > 0
 
 
+def test_scores_do_not_depend_on_where_counts_are_met(documents, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, text(rng, 30) + f" only{i} élan{i}") for i in range(12)] + [(20, "only3 unseen the cat,"), (21, "only3")]
+
+    def train(docs, vocab, tokenizer=None):
+        own = np.random.default_rng(5)
+        return {k: v + own.normal(0, 0.2, v.shape).astype(np.float32) for k, v in m.start(vocab.classes).items()}
+
+    monkeypatch.setattr(m, "train", train)
+    scores = []
+    for head in (1 << 18, 3, 0):
+        monkeypatch.setattr(m, "HEAD", head)
+        scores.append({r.doc_id: r.score for r in m.score(documents(*rows), F.col("doc_id") < 20).collect()})
+    assert scores[0] == pytest.approx(scores[1], rel=1e-12) and scores[0] == pytest.approx(scores[2], rel=1e-12)
+
+
 def test_odd_rows(odd):
     rows = m.score(odd, F.col("doc_id").isNotNull()).collect()
     assert len(rows) == odd.count() and all(r.score < 0 and r.base_score < 0 for r in rows)
