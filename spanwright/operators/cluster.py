@@ -97,3 +97,13 @@ def label_distances(vectors: DataFrame, label: str = "label", vector: str = "emb
     sums = long.groupBy(label, "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
     out = sums.groupBy(label).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("q").alias("q"), F.max("n").alias("n"))
     return out.select(label, "n", ((F.col("ss") - F.col("q")) / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0))).alias("mean_cosine"))
+
+
+def pair_distances(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
+    """One row: mean cosine distance of the pairs of unit vectors within labels (intra) and between labels (inter); from sums, without pairs."""
+    long = vectors.select(label, F.posexplode(vector).alias("i", "x")).select(label, "i", F.col("x").cast("double").alias("x"))
+    sums = long.groupBy(label, "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
+    places = sums.groupBy("i").agg((F.sum("s") * F.sum("s")).alias("all"), F.sum(F.col("s") * F.col("s")).alias("own"), F.sum("q").alias("q"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    out = places.agg(F.sum("all").alias("all"), F.sum("own").alias("own"), F.sum("q").alias("q"), F.max("n").alias("n"), F.max("nn").alias("nn"))
+    part = lambda total, pairs: F.coalesce(1 - total / F.nullif(pairs, F.lit(0)), F.lit(0.0))
+    return out.select(part(F.col("own") - F.col("q"), F.col("nn") - F.col("n")).alias("intra"), part(F.col("all") - F.col("own"), F.col("n") * F.col("n") - F.col("nn")).alias("inter"))

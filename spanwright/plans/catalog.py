@@ -400,6 +400,39 @@ def json_validity(spark, d):
     return table(spark, d, "events").select("event_id", json_error(t).isNull().alias("valid"))
 
 
+# The whole of what the SQL of some queries above can follow only in part.
+
+
+@query()
+def whatif_all_attempts(spark, d):
+    t = event_traces(spark, d)
+    rows = whatif.attempts(t, classify.cost_limit(t, LIMITS.cost_factor), limits=LIMITS)
+    return rows.select("trace_id", "mutation", "before", "after", "resolved")
+
+
+@query()
+def chi_square_p_all(spark, d):
+    rows = drift.chi_square(_grid(spark, d), BASE, DAYS)
+    return rows.select("day", F.round("chi2", 6).alias("chi2"), F.col("df").cast("int").alias("df"), F.round(stats.chi2_sf("chi2", F.col("df").cast("double")), 6).alias("p"))
+
+
+@query()
+def doc_freq_idf_all(spark, d):
+    docs = table(spark, d, "documents")
+    rows = cluster.document_frequency(cluster.term_counts(docs, "doc_id", "text"), docs.count())
+    return rows.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query()
+def tfidf_weights_documents(spark, d):
+    return cluster.tfidf(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def label_pair_distances(spark, d):
+    return cluster.pair_distances(table(spark, d, "embeddings"))
+
+
 @query()
 def failure_families(spark, d):
     return cluster.cards(cluster.families(_failures(spark, d)))
