@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-#: Hashes, sketches and tokens are not SQL; tests hold the stages against brute force.
+#: Hashes, sketches and tokens are not SQL. Tests hold the operators against brute force; the stages and ``run`` have no test yet.
 ORACLE_SQL = None
 
 
