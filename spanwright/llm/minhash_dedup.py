@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import let, materialise, shingle_hashes
@@ -89,13 +89,18 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str = "doc
     return rows.select("text").mapInPandas(scan, SETS).dropDuplicates(["node"])
 
 
+def _log(count: str) -> Column:
+    """A logarithm in thousandths: sums of whole numbers are equal in any order, so that equally typical nodes tie."""
+    return F.round(F.log(count) * 1000).cast("long")
+
+
 def lists(nodes: DataFrame, ratio: float) -> DataFrame:
     """value, band, own, node, typical: the lists that each node enters, and how common its values are."""
     values = nodes.where("n_shingles >= 1").select("node", "n_shingles", F.posexplode(F.slice("sketch", 1, RETAINED)).alias("at", "value"))
     counts = values.groupBy("value").count().where("count > 1")
     looked_at = F.least(F.lit(RETAINED), F.col("n_shingles"))
     listed = F.when(F.col("at") < LISTED, F.struct("count", "value"))
-    rare = values.join(counts, "value").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(listed)).alias("values"), F.count("*").alias("shared"), F.sum(F.log("count")).alias("logs"))
+    rare = values.join(counts, "value").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(listed)).alias("values"), F.count("*").alias("shared"), F.sum(_log("count")).alias("logs"))
     rare = rare.where(F.col("shared") >= SHARED * looked_at)
     # sets whose sizes are within the ratio are in one band or in neighbouring ones
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / -math.log(ratio) + 1e-9).cast("int")
@@ -111,7 +116,7 @@ def _consensus(entries: DataFrame, sets: DataFrame) -> DataFrame:
     top = top.select("value", "band", "typical", F.explode("salts").alias("salt"))
     tied = materialise(rows.join(top, ["value", "band", "typical", "salt"], "left_semi").select("node").distinct(), "near-tied")
     each = sets.join(tied, "node").select("node", F.explode("shingles").alias("shingle"))
-    agreed = each.join(each.groupBy("shingle").count(), "shingle").groupBy("node").agg(F.sum(F.log("count")).alias("agreed"))
+    agreed = each.join(each.groupBy("shingle").count(), "shingle").groupBy("node").agg(F.sum(_log("count")).alias("agreed"))
     return entries.join(agreed, "node", "left")
 
 
