@@ -5,15 +5,18 @@
 2. Symbols have classes by frequency: the most frequent are a class each, the others share classes of like
    mass. P(symbol | context) = P(class | context) * P(symbol | class); the second factor
    comes from the counts, the first from the attention model.
-3. The model trains on the windows of all training documents, equal ones as one with a weight. It trains in rounds, each
+3. The model trains on the windows of all training documents, which do not overlap, so every symbol is learned once; equal
+   ones are one with a weight. It trains in rounds, each
    on its share of the windows: every partition descends on its own from the same weights, batch by batch, then weights
    are averaged. Windows with many copies are dealt to several rounds and partitions.
 4. Whole texts are cut into overlapping windows; every symbol is scored once, with at least ``WINDOW - STRIDE``
    symbols of context where there are so many, in batches of masked attention.
 5. A word's probability is that of its first symbol's class, times its share in the corpus among the words that
    begin in this class, less a discount of ``DISCOUNT`` counts; what discounts set free goes, for known words too, to the
-   product over the word's symbols. Counts of the ``HEAD`` most frequent words are at hand in the scan; all other words meet
-   their counts in a join.
+   product over the word's symbols. Counts of at most ``HEAD`` most frequent words, all above a count that a histogram
+   of counts gives, are at hand in the scan; all other words meet their counts in a join.
+6. ``word_score`` is the log probability in the outcomes that the base has: a known word has its share without the spelling, and all
+   unknown words that begin in one class are one outcome, with all that discounts set free. ``score`` spells unknown words.
 
 Defined results: a null or empty text is the end mark alone; repeated rows get equal scores;
 without training documents symbols are uniform; words that the tokenizer drops are one reserved symbol; an empty table gives an empty table; other columns are ignored.
@@ -53,7 +56,9 @@ REMEMBERED = 250_000
 CHUNK = 64
 _HASH_END = -0x5B1D  # the end mark as a word
 
-SCORED = "row long, doc_id long, n_tokens long, head_known long, head_sum double, head_lm double, tail array<long>, parts array<double>"
+SCORED = "row long, doc_id long, n_tokens long, head_known long, head_sum double, head_lm double, head_word double, tail array<long>, parts array<double>, free array<double>"
+#: Steps of the histogram of counts for each doubling.
+FINE = 16
 
 
 @dataclass(frozen=True)
@@ -265,17 +270,17 @@ def descend(w: Weights, windows: np.ndarray, steps: int, seed: int, rate: float)
     return descent.w
 
 
-def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of ``WINDOW + 1`` places over texts of so many symbols, one after the other, each behind one place for its start.
 
     The place where each window begins, where its text ends, and from which of its steps on it is scored.
     """
-    number = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
+    number = 1 + np.maximum(0, -(-(lengths - WINDOW) // stride))
     size = lengths + 1
     begin = np.cumsum(size) - size
     rank = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-    first = np.where(rank > 0, WINDOW - STRIDE, 0)
-    return np.repeat(begin, number) + rank * STRIDE, np.repeat(begin + size, number), first
+    first = np.where(rank > 0, WINDOW - stride, 0)
+    return np.repeat(begin, number) + rank * stride, np.repeat(begin + size, number), first
 
 
 def _laid_out(c: Cut, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +306,7 @@ def train(docs: DataFrame, vocab: Vocabulary, tokenizer: str | None = None, roun
             texts = list(batch["text"])
             for part in groups(texts):
                 classes, lengths = _laid_out(cut(texts[part], ids_of), of)
-                yield pd.DataFrame({"w": [x.tobytes() for x in _taken(classes, *windows_of(lengths)[:2]).astype("<i2")]})
+                yield pd.DataFrame({"w": [x.tobytes() for x in _taken(classes, *windows_of(lengths, WINDOW)[:2]).astype("<i2")]})
 
     windows = docs.select("text").mapInPandas(windows_in, "w binary").groupBy("w").agg(F.count("*").alias("n"))
     rows = F.ceil(F.col("n") / COPIES)
@@ -401,22 +406,38 @@ def _scan(docs: DataFrame, w: Weights, vocab: Vocabulary, head: np.ndarray, head
                 hit = head[place] == c.keys if len(head) else np.zeros(len(c.keys), bool)
                 place, hit = place[c.place], hit[c.place]
                 by_class, weight = log_probabilities(c, np.where(hit, least[place], 0.0), w, vocab)
+                free = vocab.log_free[vocab.of[c.symbols[np.cumsum(c.sizes) - c.sizes]]]
                 of = np.repeat(np.arange(len(texts)), c.texts)
                 own = place[hit]
+                scored = np.bincount(of, by_class, len(texts))
                 in_head = lambda x, of=of, hit=hit, n=len(texts): np.bincount(of[hit], x, n)
                 ends = np.cumsum(np.bincount(of[~hit], minlength=len(texts)))[:-1]
                 yield pd.DataFrame({
                     "row": part["row"].to_numpy(), "doc_id": part["doc_id"].astype("Int64").array, "n_tokens": c.texts,
                     "head_known": in_head(None).astype(np.int64), "head_sum": in_head(logs[own]),
-                    "head_lm": np.bincount(of, by_class, len(texts)) + in_head(weight[hit]),
-                    "tail": np.split(c.keys[c.place[~hit]], ends), "parts": np.split(weight[~hit], ends),
+                    "head_lm": scored + in_head(weight[hit]), "head_word": scored + in_head(np.log(least[own])),
+                    "tail": np.split(c.keys[c.place[~hit]], ends), "parts": np.split(weight[~hit], ends), "free": np.split(free[~hit], ends),
                 })
 
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInPandas(scan, SCORED)
 
 
+def head_words(words: DataFrame) -> pd.DataFrame:
+    """word, n of the words above the least count, by steps of a histogram, that at most ``HEAD`` words have; in the order of words."""
+    step = F.floor(F.log2("n") * FINE).cast("int")
+    number = cut_at = None
+    for r in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 64 doublings at most
+        number = (number or 0) + r["count"]
+        if number > HEAD:
+            break
+        cut_at = r["step"]
+    if cut_at is None:
+        return pd.DataFrame({"word": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+    return words.where(step >= cut_at).toPandas().sort_values("word")
+
+
 def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each document; it learns from those with ``learns``."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, word_score of each document; it learns from those with ``learns``."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     training = docs.where(learns).select(F.col(text).alias("text"))
     found = materialise(counts(training, tokenizer), "lm-counts")
@@ -429,13 +450,14 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text: str = "
         starts[r.first], kinds[r.first] = r.n, r.kinds
     vocab = vocabulary(symbols, starts, kinds)
     w = train(training, vocab, tokenizer)
-    head = words.orderBy(F.desc("n"), "word").limit(HEAD).toPandas().sort_values("word")
+    head = head_words(words)
     rows = materialise(_scan(own, w, vocab, head["word"].to_numpy(np.int64), head["n"].to_numpy(np.int64), tokenizer), "lm-scored")
-    tail = rows.select("row", F.explode(F.arrays_zip("tail", "parts")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.parts").alias("parts"))
+    tail = rows.select("row", F.explode(F.arrays_zip("tail", "parts", "free")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.parts").alias("parts"), F.col("x.free").alias("free"))
     lm = F.when(F.col("n").isNull(), F.col("parts")).otherwise(F.log(F.col("n") - DISCOUNT + F.exp("parts")))
-    met = tail.join(words, "word", "left").groupBy("row").agg(F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("sum"), F.sum(lm).alias("lm"))
-    rows = rows.drop("tail", "parts").join(met, "row", "left")
+    alike = F.when(F.col("n").isNull(), F.col("free")).otherwise(F.log(F.col("n") - DISCOUNT))
+    met = tail.join(words, "word", "left").groupBy("row").agg(F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("sum"), F.sum(lm).alias("lm"), F.sum(alike).alias("alike"))
+    rows = rows.drop("tail", "parts", "free").join(met, "row", "left")
     known = F.col("head_known") + F.coalesce("known", F.lit(0))
     base = F.col("head_sum") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))
-    lm = (F.col("head_lm") + F.coalesce("lm", F.lit(0.0))) / math.log(10)
-    return rows.select("doc_id", "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), lm.alias("score"))
+    lm, alike = ((F.col(f"head_{x}") + F.coalesce(y, F.lit(0.0))) / math.log(10) for x, y in (("lm", "lm"), ("word", "alike")))
+    return rows.select("doc_id", "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), lm.alias("score"), alike.alias("word_score"))

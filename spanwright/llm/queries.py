@@ -109,7 +109,7 @@ def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     learns = F.coalesce(remainder("doc_id", 7) != 2, F.lit(False))
     rows = attention_lm.score(table(spark, sf_dir, "documents"), learns)
     held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
-    return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "word_score")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
