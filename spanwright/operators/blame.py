@@ -49,9 +49,15 @@ def baseline(traces: DataFrame, failures: DataFrame) -> DataFrame:
     return out.where("mean <> 0 or std <> 0")
 
 
+def last_failure(failures: DataFrame) -> DataFrame:
+    """trace_id, taxonomy_id, stage: of several failures of a trace the last one, by ``seq`` if there is such a column, else by class and stage."""
+    order = F.struct(*(["seq"] if "seq" in failures.columns else []), "taxonomy_id", "stage")
+    return failures.groupBy("trace_id").agg(F.max_by(F.struct("taxonomy_id", "stage"), order).alias("f")).select("trace_id", "f.*")
+
+
 def candidates(traces: DataFrame, failures: DataFrame, base: DataFrame) -> DataFrame:
     """trace_id, stage, signal, z_score, score, rank of the suspicious stages of each failed trace."""
-    last = failures.select("trace_id", F.col("stage").alias("pinned"), "taxonomy_id").dropDuplicates(["trace_id"])
+    last = last_failure(failures).withColumnRenamed("stage", "pinned")
     failed = traces.join(last.select("trace_id"), "trace_id", "left_semi")
     z = zscore(F.col("value"), F.col("mean"), F.col("std"))
     bad = F.when(F.col("direction") == "high", z).when(F.col("direction") == "low", -z).otherwise(F.abs(z))
@@ -67,8 +73,7 @@ def candidates(traces: DataFrame, failures: DataFrame, base: DataFrame) -> DataF
 def top_stage(traces: DataFrame, failures: DataFrame, base: DataFrame) -> DataFrame:
     """trace_id, taxonomy_id, stage: the most suspicious stage, or the classifier's where none is suspicious."""
     top = candidates(traces, failures, base).where("rank = 1").select("trace_id", F.col("stage").alias("top"))
-    one = failures.select("trace_id", "taxonomy_id", "stage").dropDuplicates(["trace_id"])
-    return one.join(top, "trace_id", "left").select("trace_id", "taxonomy_id", F.coalesce("top", "stage").alias("stage"))
+    return last_failure(failures).join(top, "trace_id", "left").select("trace_id", "taxonomy_id", F.coalesce("top", "stage").alias("stage"))
 
 
 def cohort_shares(top: DataFrame) -> DataFrame:

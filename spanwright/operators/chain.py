@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import of_stage, scores
+from ..functions.rules import first_span, of_stage, scores
 
 
 def blast_radius(traces: DataFrame, failures: DataFrame) -> DataFrame:
-    """trace_id, downstream (spans after the failed stage's first), stages, cost, user_facing."""
-    rows = traces.join(failures.select("trace_id", F.col("stage").alias("failed")), "trace_id")
-    after = F.filter("spans", lambda s: s["pos"] > of_stage(F.col("spans"), F.col("failed"))["pos"])
+    """trace_id, downstream, stages, cost, user_facing: what came after the span of the first evidence.
+
+    Where the trace has no such span, after the first span of the failed stage; where it has neither, nothing.
+    """
+    seen = F.get(F.col("evidence"), F.lit(0))["span_id"]
+    rows = traces.join(failures.select("trace_id", F.col("stage").alias("failed"), seen.alias("seen")), "trace_id")
+    begins = F.coalesce(first_span(F.col("spans"), lambda s: s["span_id"] == F.col("seen")), of_stage(F.col("spans"), F.col("failed")))["pos"]
+    rows = rows.withColumn("begins", begins)
+    after = F.filter("spans", lambda s: s["pos"] > F.col("begins"))
     rows = rows.withColumn("after", F.coalesce(after, F.array().cast(traces.schema["spans"].dataType)))
     stages = F.array_sort(F.array_distinct(F.transform("after", lambda s: s["stage"])))
     return rows.select("trace_id", F.size("after").alias("downstream"), F.array_join(stages, ",").alias("stages"), F.aggregate("after", F.lit(0.0), lambda a, s: a + s["cost"]).alias("cost"), (F.exists("after", lambda s: s["stage"] == "generate") | (F.col("failed") == "generate")).alias("user_facing"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import Limits, mean_of, of_stage, scores
 from .classify import verdicts
+from .health import measures
 
 LIFT, CEILING, RERANK_LIFT, PROMPT_SHARE = 0.18, 0.97, 0.08, 0.6
 
@@ -65,17 +66,19 @@ def mutate(traces: DataFrame, m: Mutation) -> DataFrame:
 
 
 def attempts(traces: DataFrame, limit: DataFrame, mutations: tuple[Mutation, ...] = DEFAULTS, limits: Limits = Limits()) -> DataFrame:
-    """trace_id, mutation, before, after, resolved, score_lift of the failed traces under each mutation.
+    """trace_id, mutation, before, after, resolved, score_lift and lift of the failed traces under each mutation.
 
+    ``lift`` has the change of each of the ``measures`` of health, null where a trace has no such span.
     Resolved: no failure, or another one, under the same cost ``limit``.
     """
     failed = verdicts(traces, limits, limit).where("verdict is not null").withColumn("before", F.col("verdict.taxonomy_id")).drop("verdict")
     was = mean_of(scores(of_stage(F.col("spans"), "retrieve")))
-    failed = failed.withColumn("__was", was)
+    failed = failed.withColumn("__was", was).withColumn("__measures", F.struct(*(v.alias(n) for n, v in measures(F.col("spans")).items())))
+    lift = F.struct(*(F.round(v - F.col("__measures")[n], 4).alias(n) for n, v in measures(F.col("spans")).items())).alias("lift")
     out = None
     for m in mutations:
         rows = verdicts(mutate(failed, m), limits, limit)
-        rows = rows.select("trace_id", F.lit(f"{m.stage}.{m.param}").alias("mutation"), "before", F.col("verdict.taxonomy_id").alias("after"), (was - F.col("__was")).alias("score_lift"))
+        rows = rows.select("trace_id", F.lit(f"{m.stage}.{m.param}").alias("mutation"), "before", F.col("verdict.taxonomy_id").alias("after"), (was - F.col("__was")).alias("score_lift"), lift)
         out = rows if out is None else out.unionByName(rows)
     return out.withColumn("resolved", ~F.col("after").eqNullSafe(F.col("before")))
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import stages, stats, text
 from ..functions.rules import Limits, ambiguity, fallback
 from ..operators import blame, chain, classify, cluster, drift, health, replay, whatif
-from .lenses import conversation_answers, event_spans, event_traces, table
+from ..sources import otlp
+from .lenses import conversation_answers, event_spans, event_traces, keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -103,9 +104,10 @@ def embed_card(spark, d):
     return health.embed_card(health.spans_of(event_traces(spark, d))).select(F.round("mean_tokens", 6).alias("mean_tokens"), F.round("std_tokens", 6).alias("std_tokens"), "n")
 
 
-@query(f"WITH {TR}, h AS (SELECT trace_id, sum(value) AS total_ms, max(value) AS slowest_ms, sum((status <> 'ok')::INT) AS errors FROM ev GROUP BY trace_id) SELECT trace_id, round(total_ms, 6) AS total_ms, slowest_ms, errors::INT AS errors, CASE WHEN k1 > 0 THEN round(k1 / 100, 6) END AS mean_score FROM h JOIN tr USING (trace_id)")
+@query(f"""WITH {TR}, h AS (SELECT trace_id, sum(value) AS total_ms, max(value) AS slowest_ms, sum((status <> 'ok')::INT) AS errors, CASE WHEN bool_or(stage = 'generate') THEN 0.0::DOUBLE END AS groundedness, arg_min((k - 50) / 100, pos) FILTER (WHERE stage = 'rerank') AS rerank_delta FROM ev GROUP BY trace_id)
+  SELECT trace_id, round(total_ms, 6) AS total_ms, slowest_ms, errors::INT AS errors, CASE WHEN k1 > 0 THEN round(k1 / 100, 6) END AS mean_score, CASE WHEN pos1 IS NOT NULL THEN round(k1 / 100, 4) END AS mean_hit_score, groundedness, round(rerank_delta, 6) AS rerank_delta FROM h JOIN tr USING (trace_id)""")
 def trace_health(spark, d):
-    return health.trace_health(event_traces(spark, d)).select("trace_id", F.round("total_ms", 6).alias("total_ms"), "slowest_ms", "errors", F.round("mean_score", 6).alias("mean_score"))
+    return health.trace_health(event_traces(spark, d)).select("trace_id", F.round("total_ms", 6).alias("total_ms"), "slowest_ms", "errors", F.round("mean_score", 6).alias("mean_score"), "mean_hit_score", "groundedness", F.round("rerank_delta", 6).alias("rerank_delta"))
 
 
 _CONTENT = "list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+(?:\\.[a-z0-9]+)?'), lambda t: NOT list_contains(stop, t) AND (length(t) > 2 OR regexp_matches(t, '[0-9]')))"
@@ -210,9 +212,9 @@ tp AS (SELECT fa.trace_id, fa.taxonomy_id, coalesce(arg_min(cd.stage, (-score, s
 
 
 def _blame(spark, d):
-    t = event_traces(spark, d)
-    f = classify.failures(t, LIMITS)
-    return t, f, blame.baseline(t, f)
+    t = keep(event_traces(spark, d), "cohort")
+    f = keep(classify.failures(t, LIMITS), "failures")
+    return t, f, keep(blame.baseline(t, f), "baseline")
 
 
 @query(f"WITH {_SIGNALS} SELECT stage, signal, round(mean, 6) AS mean, round(std, 6) AS std FROM bl")
@@ -250,7 +252,7 @@ ch AS (SELECT day, day_idx, sum((o - e) ** 2 / e) AS chi2, count(*) - 1 AS df FR
 
 
 def _grid(spark, d):
-    return drift.daily_grid(classify.mix_per_day(_failures(spark, d)))
+    return drift.daily_grid(keep(classify.mix_per_day(_failures(spark, d)), "daily"))
 
 
 @query(f"WITH {_GRID} SELECT day, day_idx::INT AS day_idx, taxonomy_id, n FROM gr")
@@ -323,12 +325,13 @@ m AS (SELECT *, CASE WHEN k1 IS NULL OR k1 = 0 THEN NULL ELSE round(least(0.97,
 n AS (SELECT trace_id, mutation, before, CASE WHEN timeout_stage IS NOT NULL THEN 'F-INFRA-001' WHEN tool_error THEN 'F-TOOL-001' WHEN k1 = 0 THEN 'F-RET-001' WHEN (CASE WHEN mutation = 'retrieve.query_rewrite' THEN up ELSE k1 / 100 END) < 0.5 THEN 'F-RET-002' WHEN total_cost > c THEN 'F-INFRA-002' END AS after FROM m)
 SELECT trace_id, mutation, before, after, before IS DISTINCT FROM after AS resolved FROM n""")
 def whatif_attempts(spark, d):
-    t = event_traces(spark, d)
+    t = keep(event_traces(spark, d), "cohort")
     rows = whatif.attempts(t, classify.cost_limit(t, LIMITS.cost_factor), whatif.DEFAULTS[:2], LIMITS)
     return rows.select("trace_id", "mutation", "before", "after", "resolved")
 
 
-@query(f"""WITH {TR}, fp AS (SELECT fa.trace_id, failed, min(pos) FILTER (WHERE stage = failed) AS p0 FROM fa JOIN ev USING (trace_id) GROUP BY fa.trace_id, failed)
+@query(f"""WITH {TR}, fp AS (SELECT fa.trace_id, failed, CASE taxonomy_id WHEN 'F-INFRA-001' THEN min(pos) FILTER (WHERE status = 'timeout') WHEN 'F-TOOL-001' THEN min(pos) FILTER (WHERE stage = 'tool' AND status = 'error')
+  WHEN 'F-INFRA-002' THEN coalesce(min(pos) FILTER (WHERE stage = 'generate'), 0) ELSE min(pos) FILTER (WHERE stage = 'retrieve') END AS p0 FROM fa JOIN ev USING (trace_id) GROUP BY fa.trace_id, failed, taxonomy_id)
 SELECT fp.trace_id, CAST(count(*) FILTER (WHERE pos > p0) AS INT) AS downstream, coalesce(string_agg(DISTINCT stage, ',' ORDER BY stage) FILTER (WHERE pos > p0), '') AS stages, round(coalesce(sum(cost) FILTER (WHERE pos > p0), 0), 6) AS cost,
   coalesce(bool_or(stage = 'generate') FILTER (WHERE pos > p0), false) OR any_value(failed) = 'generate' AS user_facing FROM fp JOIN ev USING (trace_id) GROUP BY fp.trace_id""")
 def blast_radius(spark, d):
@@ -405,7 +408,7 @@ def json_validity(spark, d):
 
 @query()
 def whatif_all_attempts(spark, d):
-    t = event_traces(spark, d)
+    t = keep(event_traces(spark, d), "cohort")
     rows = whatif.attempts(t, classify.cost_limit(t, LIMITS.cost_factor), limits=LIMITS)
     return rows.select("trace_id", "mutation", "before", "after", "resolved")
 
@@ -436,3 +439,31 @@ def label_pair_distances(spark, d):
 @query()
 def failure_families(spark, d):
     return cluster.cards(cluster.families(_failures(spark, d)))
+
+
+@query(f"""WITH {EV}, st AS (SELECT stage, count(*) AS n, round(quantile_cont(value, 0.5), 2) AS p50_ms, round(quantile_cont(value, 0.95), 2) AS p95_ms, round(avg((status <> 'ok')::INT), 4) AS error_rate FROM ev GROUP BY stage),
+fr AS (SELECT arg_min(k, pos) AS k FROM ev WHERE stage = 'retrieve' GROUP BY trace_id),
+m AS (SELECT avg((k > 0)::INT) AS hit, avg(k / 100) FILTER (WHERE k > 0) AS mean FROM fr), g AS (SELECT round(avg((k - 50) / 100), 4) AS gain FROM ev WHERE stage = 'rerank')
+SELECT stage, n, p50_ms, p95_ms, error_rate, CASE stage WHEN 'retrieve' THEN CASE WHEN hit < 0.7 OR mean < 0.45 THEN 'crit' WHEN hit < 0.9 OR mean < 0.6 THEN 'warn' ELSE 'ok' END WHEN 'rerank' THEN CASE WHEN gain < 0.01 THEN 'warn' ELSE 'ok' END ELSE 'ok' END AS status FROM st, m, g""")
+def report_cards(spark, d):
+    return health.report_cards(keep(event_traces(spark, d), "cohort")).select("stage", "n", "p50_ms", "p95_ms", "error_rate", "status")
+
+
+@query("""SELECT lpad(lower(hex(o_custkey)), 32, '0') AS trace_id, count(*)::INT AS n_spans, round(sum(o_totalprice), 4) AS total_cost, arg_min(lpad(lower(hex(o_orderkey)), 16, '0'), (o_orderdate, o_orderkey)) AS first_span,
+  min(o_orderdate) AS ts, sum(length(o_orderpriority))::BIGINT AS tokens_in, any_value(c_mktsegment) AS pipeline_name FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey""")
+def telemetry_traces(spark, d):
+    """An export for each customer, whose spans are the orders: written as JSON, then read by the intake."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    kv = lambda k, kind, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias(kind)).alias("value"))
+    nanos = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).cast("string")
+    attributes = F.array(*(F.to_json(x) for x in (kv("gen_ai.usage.input_tokens", "intValue", F.length("o_orderpriority").cast("string")), kv("cost", "doubleValue", F.col("o_totalprice")))))
+    plain = F.to_json(F.struct(F.lpad(F.hex("o_custkey"), 32, "0").alias("traceId"), F.concat(F.lit("0x"), F.lpad(F.hex("o_orderkey"), 16, "0")).alias("spanId"), F.col("o_orderpriority").alias("name"), nanos.alias("startTimeUnixNano"), F.lit("5000000").alias("durationNanos")))
+    span = F.concat(F.expr("left(__span, length(__span) - 1)"), F.lit(', "attributes": ['), F.array_join("__attributes", ","), F.lit("]}"))
+    rows = o.withColumn("__span", plain).withColumn("__attributes", attributes).select("o_custkey", "o_orderkey", span.alias("span"))
+    spans = rows.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "span"))), lambda x: x["span"]), ",").alias("spans"))
+    service = F.to_json(kv("service.name", "stringValue", F.col("c_mktsegment")))
+    text = F.concat(F.lit('{"resourceSpans": [{"resource": {"attributes": ['), service, F.lit(']}, "scopeSpans": [{"spans": ['), F.col("spans"), F.lit("]}]}]}"))
+    exports = spans.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.lpad(F.col("o_custkey").cast("string"), 20, "0").alias("doc"), text.alias("value"))
+    t = otlp.parse(exports)
+    tokens = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["tokens_in"])
+    return t.select("trace_id", F.size("spans").alias("n_spans"), F.round("total_cost", 4).alias("total_cost"), F.col("spans")[0]["span_id"].alias("first_span"), F.col("ts").cast("timestamp_ntz").alias("ts"), tokens.alias("tokens_in"), "pipeline_name")
