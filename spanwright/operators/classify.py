@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,17 @@ def cost_limit(traces: DataFrame, factor: float = 3.0) -> DataFrame:
     return traces.agg(F.when(F.count(paid) >= 20, F.greatest(F.lit(1e-6), percentile(paid, 95) * factor)).alias("cost_limit"))
 
 
+#: The rules as one column, by session and limits: to build it takes seconds, however small the table is.
+_built: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _first_rule(traces: DataFrame, limits: r.Limits) -> Column:
+    known = _built.setdefault(traces.sparkSession.sparkContext, {})
+    if limits not in known:
+        known[limits] = F.coalesce(*(rule(F.col("spans"), limits) for rule in r.RULES))
+    return known[limits]
+
+
 def verdicts(traces: DataFrame, limits: r.Limits = r.Limits(), limit: DataFrame | None = None) -> DataFrame:
     """``traces`` with ``verdict``: that of the first rule that fires, or null.
 
@@ -36,8 +49,7 @@ def verdicts(traces: DataFrame, limits: r.Limits = r.Limits(), limit: DataFrame
     """
     one = (cost_limit(traces, limits.cost_factor) if limit is None else limit).select(F.col("cost_limit").alias("__cost_limit"))
     rows = traces.crossJoin(F.broadcast(one)).withColumn("__json_error", r.json_error(r.json_candidate(F.col("spans"))))
-    found = F.coalesce(*(rule(F.col("spans"), limits) for rule in r.RULES))
-    return rows.withColumn("verdict", found).drop("__cost_limit", "__json_error")
+    return rows.withColumn("verdict", _first_rule(traces, limits)).drop("__cost_limit", "__json_error")
 
 
 def failures(traces: DataFrame, limits: r.Limits = r.Limits(), include_ambiguous: bool = False, limit: DataFrame | None = None) -> DataFrame:

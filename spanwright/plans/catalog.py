@@ -42,7 +42,7 @@ def query(sql: str | None = None):
 
 
 def _failures(spark: SparkSession, d: str) -> DataFrame:
-    return classify.failures(event_traces(spark, d), LIMITS)
+    return classify.failures(keep(event_traces(spark, d), "cohort"), LIMITS)
 
 
 @query(f"WITH {TR} SELECT day, taxonomy_id, count(*) AS n FROM fa GROUP BY ALL")
