@@ -21,10 +21,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
     The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (single-machine tests) a temporary one is used.
+    unset in local mode (single-machine tests) a temporary one is used. A cluster without it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="spanwright-"))
         root = _own_dir[0]

@@ -44,7 +44,9 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 SPACE = uuid.UUID("6f1f5ab2-6c0d-5f0e-9c39-5b6a3f0a7d11")
-INDEX = "path string, record int, page_id long, payload_bytes long, payload_digest string"
+#: A field of our own, beside the record id, for the page that a revisit repeats.
+REFERS_TO_PAGE = "X-Refers-To-Page"
+INDEX = "path string, record int, page_id long, payload_bytes long, payload_digest string, record_id string"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -97,8 +99,13 @@ def page_id_of(head: bytes) -> int | None:
     return int(found[1]) if found else None
 
 
-def warc_record(fields: dict[str, str], block: bytes, refers_to: int | None = None) -> bytes:
-    """The WARC record of an ARC record, without the trailer."""
+def record_id(fields: dict[str, str], head: bytes, digest: str) -> str:
+    """An identifier that follows from a record's address, time, page and payload; rows that repeat a page share it."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, '|'.join((fields['URL'], (fields['Archive-date'] + '0' * 14)[:14], digest, str(page_id_of(head)))))}>"
+
+
+def warc_record(fields: dict[str, str], block: bytes, refers_to: tuple[int, str] | None = None) -> bytes:
+    """The WARC record of an ARC record, without the trailer; ``refers_to``: page and record id of the response that it repeats."""
     head, payload = http_parts(block)
     date = (fields["Archive-date"] + "0" * 14)[:14]
     iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:]}Z"
@@ -108,13 +115,13 @@ def warc_record(fields: dict[str, str], block: bytes, refers_to: int | None = No
         kind, block = "revisit", head
     out = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Target-URI: {fields['URL']}", f"WARC-Date: {iso}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(SPACE, '|'.join((fields['URL'], date, digest, str(page_id_of(head)))))}>",
+        f"WARC-Record-ID: {record_id(fields, head, digest)}",
         f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
     ]
     if fields["IP-address"] not in ("-", "0.0.0.0"):
         out.append(f"WARC-IP-Address: {fields['IP-address']}")
     if refers_to is not None:
-        out += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        out += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to[1]}", f"{REFERS_TO_PAGE}: {refers_to[0]}"]
     out += [f"Content-Type: {'application/http; msgtype=response' if head else fields['Content-type']}", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(out).encode("utf-8", "surrogateescape") + block
 
@@ -168,20 +175,25 @@ def index_arc(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
-                for k, (_, block) in enumerate(arc_records(content, path)):
+                for k, (fields, block) in enumerate(arc_records(content, path)):
                     head, payload = http_parts(block)
-                    rows.append((path, k, page_id_of(head), len(payload), hashlib.sha256(payload).hexdigest()))
-                yield pd.DataFrame(rows, columns=["path", "record", "page_id", "payload_bytes", "payload_digest"]).astype({"page_id": "Int64"})
+                    digest = hashlib.sha256(payload).hexdigest()
+                    rows.append((path, k, page_id_of(head), len(payload), digest, record_id(fields, head, digest)))
+                yield pd.DataFrame(rows, columns=["path", "record", "page_id", "payload_bytes", "payload_digest", "record_id"]).astype({"page_id": "Int64"})
 
     return files.mapInPandas(read, INDEX)
 
 
 def revisits(index: DataFrame) -> DataFrame:
-    """path, revisits (record number -> page_id): the records that repeat an earlier page's payload."""
+    """path, revisits (record number -> page and record id of the response): the records that repeat an earlier page's payload."""
     large = index.where((F.col("payload_bytes") >= LEAST) & F.col("page_id").isNotNull())
-    first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    later = large.join(first, "payload_digest").where("page_id > first")
-    return later.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("record", "first"))).alias("revisits"))
+    first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.min(F.struct("page_id", "record_id"))["record_id"].alias("response")).where("first < last")
+    later = large.drop("record_id").join(first, "payload_digest").where("page_id > first")
+    return later.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("record", F.struct("first", "response")))).alias("revisits"))
+
+
+def _target(found) -> tuple[int, str] | None:
+    return None if found is None else (found["first"], found["response"])
 
 
 def convert(files: DataFrame, revisits: DataFrame) -> DataFrame:
@@ -191,7 +203,7 @@ def convert(files: DataFrame, revisits: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content, again in zip(batch["path"], batch["content"], batch["revisits"], strict=True):
                 again = dict(again) if again is not None else {}
-                yield pd.DataFrame({"record": [warc_record(f, b, again.get(k)) for k, (f, b) in enumerate(arc_records(content, path))]})
+                yield pd.DataFrame({"record": [warc_record(f, b, _target(again.get(k))) for k, (f, b) in enumerate(arc_records(content, path))]})
 
     return files.join(revisits, "path", "left").select("path", "content", "revisits").mapInPandas(rewrite, "record binary")
 
@@ -209,7 +221,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                     size, refers = len(payload), None
                     if kind == "revisit":
                         size = int(re.search(rb"\r\nContent-Length: (\d+)\r\n", head)[1])
-                        refers = int(fields["WARC-Refers-To"].removeprefix("<urn:page:").removesuffix(">"))
+                        refers = int(fields[REFERS_TO_PAGE])
                     elif hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"{path}: payload of {fields['WARC-Record-ID']} does not have its digest")
                     rows.append((page_id_of(head), size, digest, kind, refers))

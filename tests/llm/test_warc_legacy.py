@@ -34,3 +34,13 @@ def test_declared_versions_and_errors():
 
 def test_empty_table(spark):
     assert w.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_revisits_name_the_record_that_they_repeat(spark, tmp_path):
+    long = "<p>same</p>" * 30
+    w.write_arc(spark.createDataFrame([(5, "http://a/", long), (3, "http://b/", long), (9, "http://c/", long), (4, "http://d/", "other")], PAGES), str(tmp_path / "arc"))
+    w.arc_to_warc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    records = [f for r in w.read_files(spark, str(tmp_path / "warc")).collect() for f, _ in w.warc_records(bytes(r.content))]
+    of = {f["WARC-Target-URI"][7]: f for f in records}
+    assert [of[k]["WARC-Type"] for k in "abcd"] == ["revisit", "response", "revisit", "response"]
+    assert of["a"]["WARC-Refers-To"] == of["c"]["WARC-Refers-To"] == of["b"]["WARC-Record-ID"] and of["b"]["WARC-Record-ID"].startswith("<urn:uuid:")
