@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: five stages, each one operator on all that the stage before kept."""
+"""From raw documents to packed training sequences: five stages, each one operator on all that the stage before kept.
+
+Defined results: null, empty and too short texts go with the quality rules; of equal rows, and of rows without an id that
+share a text, one stays; a null source is a source of its own; an empty table gives an empty table; other columns, whatever their names,
+are kept up to the packing, which returns pieces.
+"""
 
 from __future__ import annotations
 
@@ -45,7 +50,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-#: Hashes, sketches and tokens are not SQL. Tests hold the operators against brute force; the stages and ``run`` have no test yet.
+#: Hashes, sketches and tokens are not SQL. Tests hold the operators against brute force and each stage against what it is to do.
 ORACLE_SQL = None
 
 
