@@ -35,26 +35,26 @@ def cost_limit(traces: DataFrame, factor: float = 3.0) -> DataFrame:
 _built: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def _first_rule(traces: DataFrame, limits: r.Limits) -> Column:
+def _first_rule(traces: DataFrame, limits: r.Limits, rules: tuple[r.Rule, ...]) -> Column:
     known = _built.setdefault(traces.sparkSession.sparkContext, {})
-    if limits not in known:
-        known[limits] = F.coalesce(*(rule(F.col("spans"), limits) for rule in r.RULES))
-    return known[limits]
+    if (limits, rules) not in known:
+        known[limits, rules] = F.coalesce(*(rule(F.col("spans"), limits) for rule in rules))
+    return known[limits, rules]
 
 
-def verdicts(traces: DataFrame, limits: r.Limits = r.Limits(), limit: DataFrame | None = None) -> DataFrame:
-    """``traces`` with ``verdict``: that of the first rule that fires, or null.
+def verdicts(traces: DataFrame, limits: r.Limits = r.Limits(), limit: DataFrame | None = None, rules: tuple[r.Rule, ...] = r.RULES) -> DataFrame:
+    """``traces`` with ``verdict``: that of the first of ``rules`` that fires, or null; a rule is a function from spans and limits to ``rules.verdict``.
 
     Narrow but for the cohort's cost limit, a single row that is joined to all. ``limit`` takes it from another cohort.
     """
     one = (cost_limit(traces, limits.cost_factor) if limit is None else limit).select(F.col("cost_limit").alias("__cost_limit"))
     rows = traces.crossJoin(F.broadcast(one)).withColumn("__json_error", r.json_error(r.json_candidate(F.col("spans"))))
-    return rows.withColumn("verdict", _first_rule(traces, limits)).drop("__cost_limit", "__json_error")
+    return rows.withColumn("verdict", _first_rule(traces, limits, rules)).drop("__cost_limit", "__json_error")
 
 
-def failures(traces: DataFrame, limits: r.Limits = r.Limits(), include_ambiguous: bool = False, limit: DataFrame | None = None) -> DataFrame:
+def failures(traces: DataFrame, limits: r.Limits = r.Limits(), include_ambiguous: bool = False, limit: DataFrame | None = None, rules: tuple[r.Rule, ...] = r.RULES) -> DataFrame:
     """trace_id, day, taxonomy_id, stage, confidence, source, evidence of the traces that failed."""
-    rows = verdicts(traces, limits, limit)
+    rows = verdicts(traces, limits, limit, rules)
     if include_ambiguous:
         rows = rows.withColumn("verdict", F.coalesce("verdict", r.fallback(F.col("spans"))))
     return rows.where("verdict is not null").select("trace_id", "day", "verdict.*")

@@ -58,3 +58,35 @@ TAXONOMY = {
     "F-INFRA-002": ("Request cost far above its cohort", "generate"),
     "F-INFRA-003": ("Blocked or broken outside the rules", "guard"),
 }
+
+#: What is known to help against each class.
+PLAYBOOKS = {
+    "F-RET-001": "widen or rewrite the query, and answer from a fallback when nothing is found",
+    "F-RET-002": "raise the score that context must have, or rerank before generating",
+    "F-RET-003": "compare the index with its last good state and embed it anew",
+    "F-PROMPT-001": "trim or summarise the context before it is sent",
+    "F-GEN-001": "validate the output against its schema and ask once more with the error",
+    "F-GEN-002": "raise the repetition penalty or stop at the first repeated passage",
+    "F-GEN-003": "tell the model that the context suffices, and test the prompt on past refusals",
+    "F-GEN-004": "ask for citations and drop sentences that no source supports",
+    "F-TOOL-001": "hand the tool's error to the model and bound its retries",
+    "F-INFRA-001": "set a deadline for each stage and a cheaper stage to fall back to",
+    "F-INFRA-002": "set a budget for each request and stop loops that exceed it",
+    "F-INFRA-003": "review the guard's rule on this request and allow it or document the block",
+}
+
+#: The guard that should have stopped each class before it reached a user.
+EXPECTED_GUARDS = {
+    "F-RET-001": "a check for empty retrievals before generating",
+    "F-RET-002": "a least mean score for retrieved context",
+    "F-RET-003": "an alarm on declining retrieval scores",
+    "F-PROMPT-001": "a limit on the size of the prompt",
+    "F-GEN-001": "a validator of the output's format",
+    "F-GEN-002": "a detector of repeated text",
+    "F-GEN-003": "a check that answers are relevant to their context",
+    "F-GEN-004": "a check that answers are grounded in their context",
+    "F-TOOL-001": "a guard that returns tool errors to the model",
+    "F-INFRA-001": "a watchdog over each stage's time",
+    "F-INFRA-002": "a budget for each request",
+    "F-INFRA-003": "the guard itself: it acted, and its decision needs review",
+}
