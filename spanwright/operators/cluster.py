@@ -26,16 +26,20 @@ def term_counts(texts: DataFrame, id_col: str, text: str) -> DataFrame:
     return texts.select(id_col, F.explode(cluster_terms(F.col(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
-def document_frequency(counts: DataFrame, n_texts: int, min_df: int = 1) -> DataFrame:
-    """term, df, idf (smoothed)."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+def document_frequency(counts: DataFrame, n_texts: int, min_df: int = 1, copies: str | None = None) -> DataFrame:
+    """term, df, idf (smoothed); ``copies``: the column that says how often a text occurs."""
+    df = counts.groupBy("term").agg((F.sum(copies) if copies else F.count("*")).alias("df")).where(F.col("df") >= min_df)
     return df.withColumn("idf", F.log((1.0 + n_texts) / (1 + F.col("df"))) + 1)
 
 
-def tfidf(texts: DataFrame, id_col: str = "trace_id", text: str = "text", min_df: int = 1) -> DataFrame:
-    """id, term, weight; the weights of a text have norm 1."""
+def tfidf(texts: DataFrame, id_col: str = "trace_id", text: str = "text", min_df: int = 1, copies: str | None = None) -> DataFrame:
+    """id, term, weight; the weights of a text have norm 1. ``copies``: a column of ``texts``, where a row stands for so many equal texts."""
     counts = term_counts(texts, id_col, text)
-    rows = counts.join(document_frequency(counts, texts.count(), min_df), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    if copies:
+        counts, n_texts = counts.join(texts.select(id_col, copies), id_col), texts.agg(F.sum(copies)).head()[0] or 0
+    else:
+        n_texts = texts.count()
+    rows = counts.join(document_frequency(counts, n_texts, min_df, copies), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return rows.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
@@ -58,20 +62,25 @@ def average_linkage(similar: np.ndarray, size: np.ndarray, cut: float = 0.62) ->
     return np.unique(label, return_inverse=True)[1]
 
 
-def families(failures: DataFrame, cut: float = 0.62, max_clusters: int = 10, seed: int = 7) -> DataFrame:
-    """trace_id, taxonomy_id, cluster. Equal texts are one point with its multiplicity."""
+def families(failures: DataFrame, cut: float = 0.62, max_clusters: int = 10, seed: int = 7, linked: int = LINKED) -> DataFrame:
+    """trace_id, taxonomy_id, cluster. Equal texts are one point with its multiplicity.
+
+    Above ``max_clusters`` clusters, and above ``linked`` different texts, k-means parts them; no failures have no clusters.
+    """
     spark = failures.sparkSession
     texts = evidence_text(failures)
     points = texts.groupBy("text").agg(F.count("*").alias("n"))
-    few = points.orderBy("text").limit(LINKED + 1).collect()
-    if len(few) <= LINKED:
-        found = tfidf(points, "text", "text").collect() if few else []  # at most LINKED short texts
+    few = points.orderBy("text").limit(linked + 1).collect()
+    if not few:
+        return texts.select("trace_id", "taxonomy_id", F.lit(0).alias("cluster"))
+    if len(few) <= linked:
+        found = tfidf(points, "text", "text", copies="n").collect()  # at most ``linked`` short texts
         row, col = {r["text"]: k for k, r in enumerate(few)}, {}
         x = np.zeros((len(few), len({r["term"] for r in found})))
         for r in found:
             x[row[r["text"]], col.setdefault(r["term"], len(col))] = r["weight"]
         labels = average_linkage(x @ x.T, np.array([r["n"] for r in few]), cut)
-        if len(few) and labels.max() < max_clusters:
+        if labels.max() < max_clusters:
             assigned = spark.createDataFrame([(r["text"], int(k)) for r, k in zip(few, labels, strict=True)], "text string, cluster int")
             return texts.join(F.broadcast(assigned), "text").select("trace_id", "taxonomy_id", "cluster")
     from pyspark.ml.clustering import KMeans
@@ -91,6 +100,29 @@ def cards(members: DataFrame, min_size: int = 2) -> DataFrame:
     return out.where(F.col("size") >= min_size).drop("most")
 
 
+def family_cards(failures: DataFrame, members: DataFrame, min_size: int = 2, n_terms: int = 5, shown: int = 12) -> DataFrame:
+    """cluster, size, share, dominant, purity, terms, representative, members of each cluster of ``members`` (``families``).
+
+    Clusters are numbered from 0, largest first. terms: those of the highest mean weight, ties by term; members: the
+    first ``shown`` trace ids; representative: the first. Clusters below ``min_size`` have no card, but count in the shares.
+    """
+    texts = evidence_text(failures).join(members.select("trace_id", "taxonomy_id", "cluster"), ["trace_id", "taxonomy_id"])
+    points = texts.groupBy("cluster", "text").agg(F.count("*").alias("n"))
+    weights = tfidf(points.groupBy("text").agg(F.sum("n").alias("n")), "text", "text", copies="n").join(points, "text")
+    mean = weights.groupBy("cluster", "term").agg(F.round(F.sum(F.col("weight") * F.col("n")), 9).alias("w"))
+    best = mean.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("w"), "term"))).where(F.col("k") <= n_terms)
+    terms = best.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("k", "term")))["term"].alias("terms"))
+    # only the first ids of each partition are shuffled
+    first = members.select("cluster", "trace_id").withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("trace_id"))).where(F.col("k") <= shown)
+    ids = first.groupBy("cluster").agg(F.array_sort(F.collect_list("trace_id")).alias("members"))
+    rows = cards(members, min_size).join(terms, "cluster", "left").join(ids, "cluster")
+    number = F.row_number().over(Window.orderBy(F.desc("size"), "cluster")) - 1  # a row for each cluster
+    return rows.select(
+        number.alias("cluster"), "size", F.round("share", 4).alias("share"), "dominant", F.round("purity", 4).alias("purity"),
+        F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.col("members")[0].alias("representative"), "members",
+    ).orderBy("cluster")
+
+
 def label_distances(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """label, n, mean cosine similarity of its pairs of unit vectors; from sums of vectors, without pairs."""
     long = vectors.select(label, F.posexplode(vector).alias("i", "x")).select(label, "i", F.col("x").cast("double").alias("x"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stages, stats, text
 from ..functions.rules import Limits, ambiguity, fallback
-from ..operators import blame, chain, classify, cluster, drift, health, replay, whatif
+from ..operators import ambiguous, blame, chain, classify, cluster, drift, health, incident, replay, report, whatif
 from ..sources import otlp
 from .lenses import conversation_answers, event_spans, event_traces, keep, table
 
@@ -441,6 +441,36 @@ def failure_families(spark, d):
     return cluster.cards(cluster.families(_failures(spark, d)))
 
 
+@query()
+def family_cards(spark, d):
+    failures = keep(_failures(spark, d), "failures")
+    return cluster.family_cards(failures, cluster.families(failures))
+
+
+@query(f"""WITH {TR}, s AS (SELECT trace_id, arg_min(event_id, pos)::VARCHAR AS asked, (arg_min(event_id, pos) FILTER (WHERE stage = 'retrieve'))::VARCHAR AS retrieval, (arg_min(event_id, pos) FILTER (WHERE stage = 'generate'))::VARCHAR AS generation FROM ev GROUP BY trace_id)
+SELECT trace_id, taxonomy_id, asked, retrieval, k1 AS hits, CASE WHEN k1 > 0 THEN k1 / 100 END AS weakest, generation, 'absent' AS guard FROM fa JOIN s USING (trace_id)""")
+def causal_chains(spark, d):
+    traces = keep(event_traces(spark, d), "cohort")
+    rows = incident.cases(traces, classify.failures(traces, LIMITS))
+    return rows.select("trace_id", "primary.taxonomy_id", F.col("trigger.span_id").alias("asked"), F.col("poisoning.span_id").alias("retrieval"), F.col("poisoning.hits").cast("long").alias("hits"), "poisoning.weakest", F.col("divergence.span_id").alias("generation"), F.col("guard.state").alias("guard"))
+
+
+@query()
+def incident_pages(spark, d):
+    traces = keep(event_traces(spark, d), "cohort")
+    return incident.pages(traces, classify.failures(traces, LIMITS))
+
+
+@query(f"WITH {TR} SELECT taxonomy_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, min(trace_id) AS sample FROM fa GROUP BY taxonomy_id")
+def report_classes(spark, d):
+    return report.classes(_failures(spark, d)).select("taxonomy_id", "n", F.round("share", 6).alias("share"), F.col("sample.trace_id").alias("sample"))
+
+
+@query()
+def ambiguous_verdicts(spark, d):
+    return ambiguous.second_pass(classify.verdicts(keep(event_traces(spark, d), "cohort"), LIMITS), offline=True)
+
+
 @query(f"""WITH {EV}, st AS (SELECT stage, count(*) AS n, round(quantile_cont(value, 0.5), 2) AS p50_ms, round(quantile_cont(value, 0.95), 2) AS p95_ms, round(avg((status <> 'ok')::INT), 4) AS error_rate FROM ev GROUP BY stage),
 fr AS (SELECT arg_min(k, pos) AS k FROM ev WHERE stage = 'retrieve' GROUP BY trace_id),
 m AS (SELECT avg((k > 0)::INT) AS hit, avg(k / 100) FILTER (WHERE k > 0) AS mean FROM fr), g AS (SELECT round(avg((k - 50) / 100), 4) AS gain FROM ev WHERE stage = 'rerank')

@@ -1,10 +1,14 @@
 """Incident pages, reports and the second pass, over traces written by hand."""
 
+import math
+import re
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 from test_planted import cohort, good, span  # noqa: F401  cohort is a fixture
 
-from spanwright.operators import ambiguous, blame, classify, incident, report
+from spanwright.operators import ambiguous, blame, classify, cluster, incident, report
 
 
 def story():
@@ -102,3 +106,32 @@ def test_a_rule_of_ones_own(cohort):  # noqa: F811
     found = {r.trace_id: (r.taxonomy_id, r.evidence[0].value) for r in classify.failures(traces, rules=(*rules.RULES, many_spans)).collect()}
     assert found["a"] == ("F-OWN-001", "4") and found["b"][0] == "F-RET-002"
     assert classify.failures(traces).where("trace_id = 'a'").count() == 0
+
+
+@pytest.mark.parametrize("linked", [2000, 0])  # 0: always by k-means
+def test_cards_of_families(cohort, linked):  # noqa: F811
+    tools = {f"t{k:02}": [span("tool", status="error", error=e)] for k, e in enumerate(["no such file"] * 14 + ["no such folder"] * 3)}
+    weak = {f"w{k}": [span("retrieve", hit_count=1, hit_scores=[0.2])] for k in range(4)}
+    failures = classify.failures(cohort(**tools, **weak, one=[span("generate", status="timeout", duration=30_000.0)])).cache()
+    members = cluster.families(failures, linked=linked, max_clusters=10 if linked else 3)
+    of = {r.trace_id: r.cluster for r in members.collect()}
+    if linked:
+        assert len({of[t] for t in tools}) == len({of[w] for w in weak}) == 1 and len(set(of.values())) == 3
+    assert len(of) == 22
+    texts = {r.trace_id: Counter(re.findall("[a-z_][a-z0-9_]{2,}", r.text.lower())) for r in cluster.evidence_text(failures).collect()}
+    df = Counter(t for c in texts.values() for t in c)
+    kind, groups, total = {r.trace_id: r.taxonomy_id for r in failures.collect()}, defaultdict(list), defaultdict(Counter)
+    for t, k in sorted(of.items()):
+        groups[k].append(t)
+        w = {x: n * (math.log(23 / (1 + df[x])) + 1) for x, n in texts[t].items()}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        for x, v in w.items():
+            total[k][x] += v / norm
+    want = []
+    for k in sorted((k for k in groups if len(groups[k]) > 1), key=lambda k: (-len(groups[k]), k)):
+        ids, classes = groups[k], Counter(kind[t] for t in groups[k])
+        top = min(classes, key=lambda c: (-classes[c], c))
+        terms = sorted(total[k], key=lambda x: (-round(total[k][x], 9), x))[:5]
+        want.append((len(want), len(ids), round(len(ids) / 22, 4), top, round(classes[top] / len(ids), 4), terms, ids[0], ids[:12]))
+    assert [tuple(r) for r in cluster.family_cards(failures, members).collect()] == want
+    assert cluster.family_cards(failures.where("false"), cluster.families(failures.where("false"))).count() == 0
