@@ -9,7 +9,9 @@ response or resource; revisit for repeated payloads), and digests of block and p
 
 Archives are written by Spark's text writer, whose line separator is the
 format's record trailer, so they go to any store that Spark writes; they are read
-as ``binaryFile``. Files are bounded by ``RECORDS`` records each. A record's payload
+as ``binaryFile``. A file holds ``BYTES`` of records at most (a larger record has a file of
+its own) and begins with the block that declares its version; it becomes one WARC file,
+whose warcinfo record is that block. A record's payload
 never meets another's: repeated payloads are found on (digest, page_id) alone and
 the verdicts go back to the archive they concern.
 
@@ -26,16 +28,17 @@ import gzip
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import materialise, shared_dir
 
-#: Records in one archive file.
-RECORDS = 500
+#: Bytes of the records of one archive file, at most, where it has several.
+BYTES = 32 << 20
 #: Payloads below this size are never revisits.
 LEAST = 100
 #: The header lines that the two versions declare.
@@ -58,8 +61,15 @@ def unpack(content: bytes) -> bytes:
     return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
-def arc_records(content: bytes, name: str = "") -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record after the version block."""
+def version_block(name: str, version: int) -> bytes:
+    """The first record of an ARC file, without its trailer."""
+    block = f"{version} 0 spanwright\n{ARC_FIELDS[version]}\n"
+    between = f"200 - - 0 {name} " if version == 2 else ""
+    return f"filedesc://{name} 0.0.0.0 20200101000000 text/plain {between}{len(block)}\n{block}".encode()
+
+
+def arc_records(content: bytes, name: str = "", whole: bool = False) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record after the version block; of that too, if ``whole``."""
     data, at, fields = unpack(content), 0, None
     while at < len(data):
         if data[at : at + 1] in b"\r\n":  # the trailer of the record before
@@ -77,6 +87,8 @@ def arc_records(content: bytes, name: str = "") -> Iterator[tuple[dict[str, str]
             if version not in (b"1", b"2"):
                 raise ValueError(f"{name}: unknown ARC version at byte {at}")
             fields = ARC_FIELDS[int(version)].split(" ")
+            if whole:
+                yield dict(zip(("URL", "IP-address", "Archive-date", "Content-type"), line, strict=False)), block
         else:
             fields = fields or ARC_FIELDS[1 if len(line) == 5 else 2].split(" ")
             if len(line) != len(fields):
@@ -104,17 +116,30 @@ def record_id(fields: dict[str, str], head: bytes, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, '|'.join((fields['URL'], (fields['Archive-date'] + '0' * 14)[:14], digest, str(page_id_of(head)))))}>"
 
 
+def iso_date(date: str) -> str:
+    date = (date + "0" * 14)[:14]
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:]}Z"
+
+
+def warcinfo(fields: dict[str, str], block: bytes) -> bytes:
+    """The WARC record of a version block, without the trailer."""
+    name, digest = fields["URL"].removeprefix("filedesc://"), hashlib.sha256(block).hexdigest()
+    out = [
+        "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Date: {iso_date(fields['Archive-date'])}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(SPACE, f'{name}|{digest}')}>",
+        f"WARC-Filename: {name}", f"WARC-Block-Digest: sha256:{digest}", f"Content-Type: {fields['Content-type']}", f"Content-Length: {len(block)}", "", "",
+    ]
+    return "\r\n".join(out).encode("utf-8", "surrogateescape") + block
+
+
 def warc_record(fields: dict[str, str], block: bytes, refers_to: tuple[int, str] | None = None) -> bytes:
     """The WARC record of an ARC record, without the trailer; ``refers_to``: page and record id of the response that it repeats."""
     head, payload = http_parts(block)
-    date = (fields["Archive-date"] + "0" * 14)[:14]
-    iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:]}Z"
     kind = "response" if head else "resource"
     digest = hashlib.sha256(payload).hexdigest()
     if refers_to is not None:
         kind, block = "revisit", head
     out = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Target-URI: {fields['URL']}", f"WARC-Date: {iso}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Target-URI: {fields['URL']}", f"WARC-Date: {iso_date(fields['Archive-date'])}",
         f"WARC-Record-ID: {record_id(fields, head, digest)}",
         f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
     ]
@@ -146,10 +171,30 @@ def warc_records(content: bytes, name: str = "") -> Iterator[tuple[dict[str, str
 # --- on Spark ---------------------------------------------------------------------------------
 
 
-def write_records(records: DataFrame, path: str, trailer: str) -> None:
-    """Writes ``record`` (binary or string), one archive file for each ``RECORDS`` rows of a partition."""
-    lines = records.select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", trailer).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+def write_archives(archives: DataFrame, path: str, trailer: str) -> None:
+    """Writes each row of ``archive`` (binary) as a file; ``trailer`` ends its last record."""
+    lines = archives.select(F.col("archive").cast("string").alias("value"))
+    lines.write.option("lineSep", trailer).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+
+
+def gather(records: DataFrame, begin: Callable[[str], bytes], trailer: bytes, most: int) -> DataFrame:
+    """``record`` (binary) put together as ``archive``s of ``most`` bytes; each begins with ``begin`` of its name."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[bytes] = []
+        size = number = 0
+        closed = lambda: pd.DataFrame({"archive": [trailer.join([begin(f"pages-{TaskContext.get().partitionId()}-{number}.arc"), *held])]})
+        for batch in batches:
+            for record in batch["record"]:
+                if held and size + len(record) > most:
+                    yield closed()
+                    held, size, number = [], 0, number + 1
+                held.append(record)
+                size += len(record)
+        if held:
+            yield closed()
+
+    return records.mapInPandas(run, "archive binary")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -157,7 +202,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
-def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
+def write_arc(pages: DataFrame, path: str, version: int = 1, most: int = BYTES) -> None:
     """Writes ``pages`` (page_id, url, html) as ARC files: HTTP responses that carry the page's number."""
     html, url = F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.regexp_replace("url", r"\s", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-"))))
     mark = F.coalesce(F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))
@@ -165,7 +210,8 @@ def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
     block = F.concat(head, html)
     between: list[Column] = [] if version == 1 else [F.lit(x) for x in ("200", "-", "-", "0", "pages.arc")]
     line = F.concat_ws(" ", url, F.lit("0.0.0.0"), F.lit("20200101000000"), F.lit("text/html"), *between, F.octet_length(block).cast("string"))
-    write_records(pages.select(F.concat(line, F.lit("\n"), block).alias("record")), path, "\n")
+    records = pages.select(F.concat(line, F.lit("\n"), block).cast("binary").alias("record"))
+    write_archives(gather(records, lambda name: version_block(name, version), b"\n", most), path, "\n")
 
 
 def index_arc(files: DataFrame) -> DataFrame:
@@ -197,15 +243,23 @@ def _target(found) -> tuple[int, str] | None:
 
 
 def convert(files: DataFrame, revisits: DataFrame) -> DataFrame:
-    """The WARC records of ARC ``files``, as ``record`` binary."""
+    """The WARC file of each of the ARC ``files``, as ``archive`` binary."""
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content, again in zip(batch["path"], batch["content"], batch["revisits"], strict=True):
                 again = dict(again) if again is not None else {}
-                yield pd.DataFrame({"record": [warc_record(f, b, _target(again.get(k))) for k, (f, b) in enumerate(arc_records(content, path))]})
+                out, k = [], 0
+                for fields, block in arc_records(content, path, whole=True):
+                    if fields["URL"].startswith("filedesc://"):
+                        out.append(warcinfo(fields, block))
+                    else:
+                        out.append(warc_record(fields, block, _target(again.get(k))))
+                        k += 1
+                if out:
+                    yield pd.DataFrame({"archive": [b"\r\n\r\n".join(out)]})
 
-    return files.join(revisits, "path", "left").select("path", "content", "revisits").mapInPandas(rewrite, "record binary")
+    return files.join(revisits, "path", "left").select("path", "content", "revisits").mapInPandas(rewrite, "archive binary")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -216,6 +270,8 @@ def read_warc(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
                 for fields, block in warc_records(content, path):
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
                     head, payload = http_parts(block)
                     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
                     size, refers = len(payload), None
@@ -234,7 +290,7 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str) -> None:
     """Converts the ARC files under ``arc`` to WARC files under ``warc``."""
     files = read_files(spark, arc)
     index = materialise(index_arc(files), "arc-index")
-    write_records(convert(files, revisits(index)), warc, "\r\n\r\n")
+    write_archives(convert(files, revisits(index)), warc, "\r\n\r\n")
 
 
 def round_trip(pages: DataFrame, version: int = 1) -> DataFrame:

@@ -40,7 +40,24 @@ def test_revisits_name_the_record_that_they_repeat(spark, tmp_path):
     long = "<p>same</p>" * 30
     w.write_arc(spark.createDataFrame([(5, "http://a/", long), (3, "http://b/", long), (9, "http://c/", long), (4, "http://d/", "other")], PAGES), str(tmp_path / "arc"))
     w.arc_to_warc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
-    records = [f for r in w.read_files(spark, str(tmp_path / "warc")).collect() for f, _ in w.warc_records(bytes(r.content))]
+    records = [f for r in w.read_files(spark, str(tmp_path / "warc")).collect() for f, _ in w.warc_records(bytes(r.content)) if f["WARC-Type"] != "warcinfo"]
     of = {f["WARC-Target-URI"][7]: f for f in records}
     assert [of[k]["WARC-Type"] for k in "abcd"] == ["revisit", "response", "revisit", "response"]
     assert of["a"]["WARC-Refers-To"] == of["c"]["WARC-Refers-To"] == of["b"]["WARC-Record-ID"] and of["b"]["WARC-Record-ID"].startswith("<urn:uuid:")
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_files_are_bounded_by_bytes_and_declare_their_version(spark, tmp_path, version):
+    arc, warc = str(tmp_path / "arc"), str(tmp_path / "warc")
+    pages = spark.createDataFrame([(k, f"http://h/{k}", f"{k:04}" * (5000 if k == 7 else 250)) for k in range(20)], PAGES).coalesce(1)
+    w.write_arc(pages, arc, version, most=3600)
+    files = [bytes(r.content) for r in w.read_files(spark, arc).collect()]
+    assert len(files) == 8  # the large page and two groups of 7 and 12, three to a file
+    declared = [next(w.arc_records(f, whole=True)) for f in files]
+    assert all(x["URL"].startswith("filedesc://pages-0-") and b.split()[0] == str(version).encode() for x, b in declared)
+    assert sorted(len(list(w.arc_records(f))) for f in files) == [1, 1, 3, 3, 3, 3, 3, 3]
+    w.arc_to_warc(spark, arc, warc)
+    converted = [[f for f, _ in w.warc_records(bytes(r.content))] for r in w.read_files(spark, warc).collect()]
+    assert len(converted) == 8 and all([f["WARC-Type"] for f in c] == ["warcinfo"] + ["response"] * (len(c) - 1) for c in converted)
+    assert {c[0]["WARC-Filename"] for c in converted} == {x["URL"][11:] for x, _ in declared} and len({f["WARC-Record-ID"] for c in converted for f in c}) == 28
+    assert sorted(r.page_id for r in w.read_warc(w.read_files(spark, warc)).collect()) == list(range(20))
