@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, best_fit_packing, minhash_dedup, neighbour_search, quality_model, quality_rules, source_mix, suffix_dedup, toxic_spans, warc_legacy
+from . import attention_lm, best_fit_packing, merkle_manifest, minhash_dedup, neighbour_search, quality_model, quality_rules, source_mix, suffix_dedup, toxic_spans, warc_legacy
 from ._shared import materialise, remainder
 
 
@@ -117,6 +117,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(pieces)
 
 
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of ASCII text."""
+    step = "list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: {step}))"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(remainder("doc_id", 7) == 0, F.lit(1)).otherwise(0)
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"), claim={"n_chars": F.col("n_chars").cast("decimal(20,0)") + tampered})
+
+
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -135,5 +148,6 @@ QUERIES = {
     "op8_legacy_archives": op8_legacy_archives,
     "op9_attention_lm": op9_attention_lm,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op7_minhash_dedup": OP7_SQL, "op8_legacy_archives": OP8_SQL}
