@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, best_fit_packing, merkle_manifest, minhash_dedup, neighbour_search, quality_model, quality_rules, source_mix, suffix_dedup, toxic_spans, warc_legacy
+from . import attention_lm, best_fit_packing, conversation_trie, merkle_manifest, minhash_dedup, neighbour_search, quality_model, quality_rules, source_mix, suffix_dedup, toxic_spans, warc_legacy
 from ._shared import materialise, remainder
 
 
@@ -130,6 +130,54 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+OP11_SQL = f"""
+WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars::HUGEINT AS n, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 7 = 0 THEN 1 ELSE 0 END AS more,
+    concat(coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'), coalesce(octet_length(encode(lang)) || ':' || lang, '-')) AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail FROM documents),
+g AS (SELECT doc_id, lang, sha256(concat(head, coalesce(length(n::VARCHAR) || ':' || n, '-'), tail)) AS leaf,
+    sha256(concat(head, coalesce(length((n + more)::VARCHAR) || ':' || (n + more), '-'), tail)) AS claim FROM f),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM g),
+low AS (SELECT 0 AS level, lang, i, n, leaf AS h FROM l
+    UNION ALL SELECT level + 1, lang, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY level, lang, i // 2, n),
+sub AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, i, n, h FROM sub
+    UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, i // 2, n),
+a AS (SELECT 0 AS level, doc_id, leaf, lang, i, n, claim AS h, '' AS proof FROM l
+    UNION ALL SELECT a.level + 1, doc_id, leaf, a.lang, a.i // 2, (a.n + 1) // 2, sha256(CASE WHEN a.i % 2 = 1 THEN s.h || a.h ELSE a.h || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+    FROM a LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM a.lang AND s.level = a.level AND s.i = xor(a.i, 1) WHERE a.n > 1),
+b AS (SELECT 0 AS level, a.doc_id, a.leaf, sub.h AS subroot, sub.i, sub.n, a.h, a.proof FROM a JOIN sub ON sub.lang IS NOT DISTINCT FROM a.lang WHERE a.n = 1
+    UNION ALL SELECT b.level + 1, doc_id, leaf, subroot, b.i // 2, (b.n + 1) // 2, sha256(CASE WHEN b.i % 2 = 1 THEN s.h || b.h ELSE b.h || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+    FROM b LEFT JOIN high s ON s.level = b.level AND s.i = xor(b.i, 1) WHERE b.n > 1)
+SELECT doc_id, leaf, subroot, high.h AS root, sha256(proof) AS proof_sha256, b.h AS folded_root, b.h = high.h AS verified FROM b JOIN high ON high.n = 1 WHERE b.n = 1
+"""
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = conversation_trie.turns(table(spark, sf_dir, "conversations"))
+    turns, convs = conversation_trie.rebuilt(said, F.col("conv_id") - F.col("conv_id") % 5, remainder("conv_id", 9))
+    return conversation_trie.trie(turns, convs)
+
+
+OP13_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, text, sha256(concat(octet_length(encode(role)), ':', role, text)) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(octet_length(encode(role)), ':', role, text))) AS p FROM c),
+k AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, {crc32_sql("conv_id::VARCHAR")} % 9 AS h FROM o GROUP BY conv_id),
+r AS (SELECT k.conv_id, o.p, said, octet_length(encode(text)) AS size FROM k JOIN o ON o.conv_id = k.base AND o.p <= k.h
+    UNION ALL SELECT k.conv_id, o.p - k.h + least(k.h, coalesce(b.n, 0)), said, octet_length(encode(text)) FROM k JOIN o ON o.conv_id = k.conv_id AND o.p > k.h LEFT JOIN k b ON b.conv_id = k.base),
+x AS (SELECT conv_id, p AS depth, size, sha256(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY p)) AS d FROM r
+    UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+m AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, d) AS owner, count(*) OVER (PARTITION BY depth, d) AS n_convs, max(depth) OVER (PARTITION BY conv_id) AS len FROM x),
+node AS (SELECT owner, depth, n_convs, size FROM m WHERE owner = conv_id),
+kid AS (SELECT b.owner, b.depth, a.owner AS up FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth = a.depth + 1 AND b.owner = b.conv_id),
+fan AS (SELECT up, depth - 1 AS depth, count(*) AS n FROM kid GROUP BY 1, 2),
+val AS (SELECT node.*, coalesce(fan.n, 0) AS kids, (n_convs - 1) * size AS saves FROM node LEFT JOIN fan ON fan.up = owner AND fan.depth = node.depth),
+tot AS (SELECT a.owner, a.depth, sum(CASE WHEN v.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum(v.saves) AS saves FROM val v JOIN m a ON a.conv_id = v.owner AND a.depth <= v.depth GROUP BY 1, 2),
+fin AS (SELECT owner, depth, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM m WHERE depth = len GROUP BY 1, 2)
+SELECT v.owner AS conv_id, v.depth, kid.up AS parent_conv_id, v.n_convs::BIGINT AS n_convs, v.kids::BIGINT AS n_children, tot.leaves::BIGINT AS n_leaves, tot.saves::BIGINT AS saved_tokens, sha256(coalesce(fin.ids, '')) AS ends_sha256
+FROM val v JOIN tot USING (owner, depth) LEFT JOIN kid USING (owner, depth) LEFT JOIN fin USING (owner, depth)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -149,5 +197,6 @@ QUERIES = {
     "op9_attention_lm": op9_attention_lm,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_conversation_trie": op13_conversation_trie,
 }
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op7_minhash_dedup": OP7_SQL, "op8_legacy_archives": OP8_SQL}
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op7_minhash_dedup": OP7_SQL, "op8_legacy_archives": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op13_conversation_trie": OP13_SQL}
