@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, best_fit_packing, conversation_trie, merkle_manifest, minhash_dedup, neighbour_search, quality_model, quality_rules, source_mix, suffix_dedup, toxic_spans, warc_legacy
+from . import attention_lm, best_fit_packing, conversation_trie, merkle_manifest, minhash_dedup, neighbour_search, personal_data, quality_model, quality_rules, source_mix, suffix_dedup, toxic_spans, warc_legacy
 from ._shared import materialise, remainder
 
 
@@ -152,6 +152,53 @@ SELECT doc_id, leaf, subroot, high.h AS root, sha256(proof) AS proof_sha256, b.h
 """
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal_data.detect(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["kind"].isin(*personal_data.BASE))
+    rows = rows.select("doc_id", "found", base.alias("base"))
+    counts = (personal_data.counted(F.col("base"), k).alias(f"n_{k}") for k in personal_data.BASE)
+    scores = F.array_join(F.transform("found", lambda x: x["score"].cast("string")), ",").alias("scores")
+    return rows.select("doc_id", *counts, F.sha2(personal_data.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), personal_data.listed(F.col("found")).alias("spans"), scores)
+
+
+def _pii_sql() -> str:
+    """Every kind on its own, by splitting at its matches; the plain expressions, since DuckDB's engine never goes back."""
+    octet = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+    digits, plain = "regexp_replace(m, '[^0-9]', '', 'g')", "regexp_replace(m, ' ', '', 'g')"
+    card = f"length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN {digits}[-1-i]::INT ELSE ({digits}[-1-i]::INT * 2) % 10 + ({digits}[-1-i]::INT * 2) // 10 END)) % 10 = 0"
+    alone = "NOT regexp_matches(b, '[A-Za-z0-9]$') AND NOT regexp_matches(a, '^[A-Za-z0-9]')"
+    value = "instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x)::INT - 1"
+    mod97 = f"list_reduce(list_concat([0], list_transform(string_split({plain}[5:] || {plain}[:4], ''), lambda x: {value})), lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"
+    said = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"), "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", rf"regexp_matches(m, '^{octet}\.{octet}\.{octet}\.{octet}$')"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", card), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+        "iban": (r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", f"{alone} AND length({plain}) BETWEEN 15 AND 34 AND {mod97}"), "card_run": ("[0-9]+", f"{alone} AND {card}"),
+        "phone_local": (r"[(0-9](?:[\x20().-]?[0-9()])+", rf"{alone} AND NOT regexp_matches(b, '\+$') AND regexp_matches(m, '^(\([0-9]{{3}}\)\x20?|[0-9]{{3}}[\x20.-])[0-9]{{3}}[\x20.-][0-9]{{4}}$')"),
+        "tax_id": ("[0-9](?:-?[0-9])+", f"{alone} AND regexp_matches(m, '^[0-8][0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}$') AND NOT regexp_matches(m, '^(000|666)|-00-|-0000$')"),
+    }
+    parts = []
+    for k, kind in enumerate(personal_data.KINDS):
+        pattern, good = said[kind.name]
+        near = lambda words: rf"regexp_matches(b || chr(10) || a, '(?i)(^|[^\p{{L}}0-9])({words})([^\p{{L}}0-9]|$)')"
+        score = f"least(100, greatest(0, {kind.score} + CASE WHEN {near(kind.up)} THEN {personal_data.UP} ELSE 0 END - CASE WHEN {near(kind.down)} THEN {personal_data.DOWN} ELSE 0 END))"
+        parts.append(f"""SELECT doc, {k} AS k, '{kind.name}' AS kind, (e - length(m))::BIGINT AS s, e, {score} AS score FROM (
+            SELECT doc, f[i] AS m, right(p[i], {personal_data.NEAR}) AS b, left(p[i + 1], {personal_data.NEAR}) AS a, list_sum(list_transform(f[:i], lambda x: length(x))) + list_sum(list_transform(p[:i], lambda x: length(x))) AS e
+            FROM (SELECT doc, f, p, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc, regexp_extract_all(t, '{pattern}') AS f, regexp_split_to_array(t, '{pattern}') AS p FROM d)))
+            WHERE {good}{'' if kind.base else f' AND {score} >= {personal_data.REPORT}'}""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({' UNION ALL '.join(parts)}),
+u AS (SELECT * FROM s WHERE kind <> 'card_run' OR (doc, s, e) NOT IN (SELECT (doc, s, e) FROM s WHERE kind = 'card')),
+w AS (SELECT doc, {', '.join(f"count(*) FILTER (kind = '{b}') AS n_{b}" for b in personal_data.BASE)}, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY k, s) FILTER (k < {len(personal_data.BASE)}) AS base,
+    string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY k, s) AS spans, string_agg(score, ',' ORDER BY k, s) AS scores FROM u GROUP BY doc)
+SELECT doc_id, {', '.join(f'coalesce(n_{b}, 0)::BIGINT AS n_{b}' for b in personal_data.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN w USING (doc)
+"""
+
+
+OP12_SQL = _pii_sql()
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = conversation_trie.turns(table(spark, sf_dir, "conversations"))
     turns, convs = conversation_trie.rebuilt(said, F.col("conv_id") - F.col("conv_id") % 5, remainder("conv_id", 9))
@@ -197,6 +244,7 @@ QUERIES = {
     "op9_attention_lm": op9_attention_lm,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_personal_data": op12_personal_data,
     "op13_conversation_trie": op13_conversation_trie,
 }
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op7_minhash_dedup": OP7_SQL, "op8_legacy_archives": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op13_conversation_trie": OP13_SQL}
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op7_minhash_dedup": OP7_SQL, "op8_legacy_archives": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op12_personal_data": OP12_SQL, "op13_conversation_trie": OP13_SQL}
