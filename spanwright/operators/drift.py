@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.stats import chi2_sf
 
 
-def daily_grid(daily: DataFrame) -> DataFrame:
-    """day, day_idx (from 1, over the days that occur), taxonomy_id, n (0 where a class has none)."""
-    days = daily.select("day").distinct().withColumn("day_idx", F.row_number().over(Window.orderBy("day")))  # a row for each day
+def daily_grid(daily: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """day, day_idx (from 1, over the days that occur), taxonomy_id, n (0 where a class has none).
+
+    ``days`` (day) adds those on which nothing failed: the days of all traces, say.
+    """
+    every = daily.select("day") if days is None else daily.select("day").union(days.select("day"))
+    days = every.distinct().withColumn("day_idx", F.row_number().over(Window.orderBy("day")))  # a row for each day
     grid = days.crossJoin(daily.select("taxonomy_id").distinct())  # days x classes
     return grid.join(daily, ["day", "taxonomy_id"], "left").select("day", "day_idx", "taxonomy_id", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -72,9 +76,9 @@ def cusum(grid: DataFrame, baseline_days: int = 14, k: float = 0.5, h: float = 5
     return series.select("taxonomy_id", F.explode(F.aggregate("x", start, step, lambda a: a["out"])).alias("r")).select("taxonomy_id", "r.*")
 
 
-def alerts(daily: DataFrame, baseline_days: int = 14, window_days: int = 3, alpha: float = 0.01, two_cell: bool = False, h: float = 5.0) -> DataFrame:
-    """type, day, taxonomy_id, statistic of each alert."""
-    grid = daily_grid(daily)
+def alerts(daily: DataFrame, baseline_days: int = 14, window_days: int = 3, alpha: float = 0.01, two_cell: bool = False, h: float = 5.0, days: DataFrame | None = None) -> DataFrame:
+    """type, day, taxonomy_id, statistic of each alert; ``days`` as for ``daily_grid``."""
+    grid = daily_grid(daily, days)
     tested = chi_square(grid, baseline_days, window_days, two_cell).withColumn("p", chi2_sf("chi2", F.col("df").cast("double")))
     fired = two_of_three(tested.select("day_idx", F.coalesce(F.col("p") < alpha, F.lit(False)).alias("sig"))).where("alert").select("day_idx")
     chi = tested.join(fired, "day_idx").select(F.lit("chi_square").alias("type"), "day", F.lit(None).cast("string").alias("taxonomy_id"), F.col("chi2").alias("statistic"))

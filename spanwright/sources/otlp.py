@@ -139,33 +139,34 @@ def _list(v: Column, key: str) -> Column:
 
 
 def entries(exports: DataFrame, value: str = "value", order: str = "doc") -> DataFrame:
-    """level, reason, place and, where reason is null, the span's variant with its service, resource and scope, of each entry in ``exports`` (``order``, ``value``)."""
+    """level, reason, place and, where reason is null, the span's variant with its service, resource and scope, of each entry in ``exports`` (``order``, ``value``).
+
+    One pass over each export: what cannot be opened is carried on as a single row with its reason.
+    """
     text = F.col(value)
     rows = exports.where(text.isNotNull()).select(F.col(order).cast("string").alias("doc"), F.coalesce(F.try_parse_json(text), F.raise_error(F.lit("an export is not JSON"))).alias("v"))
-    rows = _exploded(rows.select("doc", "v"), F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v")), "i", "request")
-    none = lambda t: F.lit(None).cast(t)
-
-    def skipped(rows: DataFrame, level: str, reason: Column, place: Column) -> DataFrame:
-        return rows.where(reason.isNotNull()).select(F.lit(level).alias("level"), reason.alias("reason"), "doc", place.alias("place"), none("variant").alias("span"), none("string").alias("service"), none("string").alias("resource"), none("string").alias("scope"))
-
-    def place(*at: str) -> Column:
-        return F.array(*(F.col(x) for x in at))
-
-    bad = F.when(_object(F.col("request")).isNull() | _list(F.col("request"), "resourceSpans").isNull(), "no resourceSpans list")
-    out = skipped(rows, "resource", bad, place("i"))
-    rows = _exploded(rows.where(bad.isNull()), _list(F.col("request"), "resourceSpans"), "r", "entry")
+    rows = _exploded(rows, F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v")), "i", "request").drop("v")
+    rows = rows.select("*", F.lit(None).cast("string").alias("reason"), F.lit("span").alias("level"), F.array("i").alias("place"))
+    none = F.array(F.lit(None).cast("variant"))
+
+    def opened(rows: DataFrame, level: str, of: str, bad: Column, key: str, at: str, item: str) -> DataFrame:
+        """A row for each item under ``key`` of ``of``; of a bad one, or of what was bad already, one row."""
+        fails = F.col("reason").isNull() & bad.isNotNull()
+        rows = rows.withColumns({"level": F.when(fails, F.lit(level)).otherwise(F.col("level")), "reason": F.coalesce("reason", bad)})
+        rows = _exploded(rows, F.when(F.col("reason").isNotNull(), none).otherwise(_list(F.col(of), key)), at, item)
+        return rows.withColumn("place", F.when(F.col("reason").isNull(), F.concat("place", F.array(at))).otherwise(F.col("place")))
+
+    no_list = F.when(_object(F.col("request")).isNull() | _list(F.col("request"), "resourceSpans").isNull(), "no resourceSpans list")
+    rows = opened(rows, "resource", "request", no_list, "resourceSpans", "r", "entry").drop("request")
     bad = F.when(_object(F.col("entry")).isNull(), "not an object").when(_list(F.col("entry"), "scopeSpans").isNull(), "scopeSpans is not a list")
-    out = out.unionByName(skipped(rows, "resource", bad, place("i", "r")))
-    rows = rows.where(bad.isNull()).withColumn("resource", flat_attributes(F.to_json(F.try_variant_get("entry", "$.resource.attributes", "variant"))))
-    rows = _exploded(rows, _list(F.col("entry"), "scopeSpans"), "s", "part")
+    rows = opened(rows.withColumn("resource", F.when(F.col("reason").isNull() & bad.isNull(), flat_attributes(F.to_json(F.try_variant_get("entry", "$.resource.attributes", "variant"))))), "resource", "entry", bad, "scopeSpans", "s", "part").drop("entry")
     bad = F.when(_object(F.col("part")).isNull(), "not an object").when(_list(F.col("part"), "spans").isNull(), "spans is not a list")
-    out = out.unionByName(skipped(rows, "scope", bad, place("i", "r", "s")))
-    rows = _exploded(rows.where(bad.isNull()), _list(F.col("part"), "spans"), "k", "span")
+    rows = opened(rows.withColumn("scope", F.try_variant_get("part", "$.scope.name", "string")), "scope", "part", bad, "spans", "k", "span").drop("part")
     one = lambda key: F.try_variant_get("span", f"$.{key}", "string")
     bad = F.when(_object(F.col("span")).isNull(), "not an object").when(hex_id(one("traceId")).isNull(), "missing or unreadable traceId").when(hex_id(one("spanId")).isNull(), "missing or unreadable spanId")
     service = F.coalesce(F.get_json_object("resource", "$['service.name']"), F.lit("unknown"))
-    found = rows.select(F.lit("span").alias("level"), bad.alias("reason"), "doc", place("i", "r", "s", "k").alias("place"), "span", service.alias("service"), "resource", F.try_variant_get("part", "$.scope.name", "string").alias("scope"))
-    return out.unionByName(found)
+    reason = F.coalesce("reason", bad)
+    return rows.select("level", reason.alias("reason"), "doc", "place", "span", *(F.when(reason.isNull() | (F.col("level") == "span"), x).alias(n) for n, x in (("service", service), ("resource", F.col("resource")), ("scope", F.col("scope")))))
 
 
 def skips(entries: DataFrame) -> DataFrame:
@@ -176,10 +177,14 @@ def skips(entries: DataFrame) -> DataFrame:
     return rows.groupBy("level").agg(F.count("*").alias("skipped")).join(reasons, "level")
 
 
-def spans(entries: DataFrame) -> DataFrame:
-    """One row for each span that can be read: doc, place, trace_id, start_ns, service, scope, resource and the columns of the trace model's spans but pos."""
+def spans(entries: DataFrame, with_skipped: bool = False) -> DataFrame:
+    """One row for each span that can be read: doc, place, trace_id, start_ns, service, scope, resource and the columns of the trace model's spans but pos.
+
+    ``with_skipped`` keeps the entries that cannot be read, with level and reason, and those two columns.
+    """
     one = lambda key: F.try_variant_get("span", f"$.{key}", "string")
-    rows = entries.where("level = 'span' and reason is null").withColumn("flat", flat_attributes(F.to_json(F.try_variant_get("span", "$.attributes", "variant"))))
+    rows = entries if with_skipped else entries.where("level = 'span' and reason is null")
+    rows = rows.withColumn("flat", flat_attributes(F.to_json(F.try_variant_get("span", "$.attributes", "variant"))))
     rows = rows.withColumn("attrs", F.from_json("flat", "map<string,string>")).withColumn("name", F.coalesce(F.nullif(one("name"), F.lit("")), F.lit("span")))
     start, end, spent = (whole_number(one(k)) for k in ("startTimeUnixNano", "endTimeUnixNano", "durationNanos"))
     ns = F.when(end >= start, end - start).otherwise(spent)
@@ -190,7 +195,7 @@ def spans(entries: DataFrame) -> DataFrame:
     of = {n: F.coalesce(known[n], F.lit(None)) if n in known else F.col("attrs")[n].try_cast(t) for n, t in (x.split(" ") for x in ATTRS.split(", "))}
     attrs = F.struct(*(v.alias(n) for n, v in (of | {"error": F.coalesce(error, F.col("attrs")["error"])}).items())).cast(f"struct<{ATTRS}>")
     return rows.select(
-        "doc", "place", hex_id(one("traceId")).alias("trace_id"), start.alias("start_ns"), "service", "scope", F.from_json("resource", "map<string,string>").alias("resource"),
+        *(["level", "reason"] if with_skipped else []), "doc", "place", hex_id(one("traceId")).alias("trace_id"), start.alias("start_ns"), "service", "scope", F.from_json("resource", "map<string,string>").alias("resource"),
         hex_id(one("spanId")).alias("span_id"), parent.alias("parent_id"), "name", infer_stage(F.col("name"), F.col("attrs")).alias("stage"), F.round(F.coalesce(ns, F.lit(0)) / 1e6, 3).alias("duration_ms"),
         status.alias("status"), *(known[n].alias(n) for n in ("tokens_in", "tokens_out", "cost")), attrs.alias("attrs"),
     )

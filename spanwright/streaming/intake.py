@@ -1,27 +1,27 @@
-"""Exports that arrive as files, as a stream: parsed once, kept once, counted by windows, watched for drift.
-
-A receiver (outside Spark) drops each request as one file in a folder. ``intake`` reads new files, writes spans and skipped entries,
-and needs no more than a checkpoint folder to resume after a crash. All queries work by micro-batches
-and end by themselves under ``available_now``.
+"""Exports that arrive as files, as a stream: parsed once, kept once, none lost.
+
+A receiver (outside Spark) drops each request as one file in a folder. ``intake`` reads new files and keeps every span once, however
+late it comes and whether or not it has a start, and beside the spans, in the same commit, what could not be read. Repeats are
+known by the keys that the state store holds, without a watermark: so no arrival is dropped for its age, and the state
+grows with the spans. ``assembly`` makes traces of the spans, ``watch`` looks for drift.
+All queries work by micro-batches, end by themselves under ``available_now``, and resume from their checkpoint folder: a
+micro-batch writes a folder of its own, which a repeat after a crash replaces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..schema import SPAN
 from ..sources import otlp
 
-#: How late a span or a failure may be.
+#: How late a failure may be that is counted by windows.
 LATE = "10 minutes"
-ALERTS = "taxonomy_id string, day date, observed long, cusum double"
-SUMS = "day date, s double"
+_SPAN = ", ".join(x for x in SPAN.split(", attrs ")[0].split(", ") if not x.startswith("pos ")) + ", attrs" + SPAN.split(", attrs", 1)[1]
+#: What ``intake`` writes; batch and kind (span, skipped) are folders.
+ENTRIES = f"level string, reason string, doc string, place array<int>, trace_id string, start_ns bigint, service string, scope string, resource map<string,string>, {_SPAN}, arrived timestamp, batch int, kind string"
 
 
 def exports(spark: SparkSession, folder: str, files: int = 1000, archive: str | None = None) -> DataFrame:
@@ -32,22 +32,52 @@ def exports(spark: SparkSession, folder: str, files: int = 1000, archive: str |
     return reader.load(folder).select(F.col("_metadata.file_path").alias("doc"), "value")
 
 
-def spans_once(spans: DataFrame, late: str = LATE) -> DataFrame:
-    """A stream of spans (with ``start_ns``) with ts, each span once however often its export comes within ``late``."""
-    timed = spans.withColumn("ts", otlp.nanos_to_time(F.coalesce("start_ns", F.lit(0))))
-    return timed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
+def once(entries: DataFrame) -> DataFrame:
+    """A stream of ``otlp.spans(..., with_skipped=True)``: each span once, by trace and span id, each skipped entry once, by its place."""
+    lost = F.col("reason").isNotNull()
+    key = F.when(lost, F.concat_ws("/", "doc", F.array_join(F.col("place").cast("array<string>"), "."))).otherwise(F.concat_ws(" ", "trace_id", "span_id"))
+    return entries.withColumns({"__key": key, "kind": F.when(lost, "skipped").otherwise("span")}).dropDuplicates(["__key"]).drop("__key")
+
+
+def intake(spark: SparkSession, folder: str, out: str, checkpoint: str, **source: int | str) -> StreamingQuery:
+    """Adds the spans and the skipped entries of new files to ``out``/intake; read them with ``spans`` and ``skipped``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("kind").parquet(f"{out}/intake/batch={number}")
+
+    found = once(otlp.spans(otlp.entries(exports(spark, folder, **source)), with_skipped=True)).withColumn("arrived", F.current_timestamp())
+    return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def intake(spark: SparkSession, folder: str, out: str, checkpoint: str, late: str = LATE, **source: Any) -> StreamingQuery:
-    """Appends each span once to ``out``/spans, exactly once after a crash too; what cannot be read goes to ``out``/skipped by ``skipped``."""
-    found = spans_once(otlp.spans(otlp.entries(exports(spark, folder, **source))), late)
-    return found.writeStream.format("parquet").option("path", f"{out}/spans").option("checkpointLocation", f"{checkpoint}/spans").trigger(availableNow=True).start()
+def _taken_in(spark: SparkSession, out: str) -> DataFrame:
+    try:
+        return spark.read.schema(ENTRIES).parquet(f"{out}/intake")
+    except Exception as e:  # only a missing folder means that nothing came yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], ENTRIES)
 
 
-def skipped(spark: SparkSession, folder: str, out: str, checkpoint: str, **source: Any) -> StreamingQuery:
-    """Appends level, reason, doc, place of the entries that were dropped to ``out``/skipped."""
-    lost = otlp.entries(exports(spark, folder, **source)).where("reason is not null").select("level", "reason", "doc", "place")
-    return lost.writeStream.format("parquet").option("path", f"{out}/skipped").option("checkpointLocation", f"{checkpoint}/skipped").trigger(availableNow=True).start()
+def spans(spark: SparkSession, out: str) -> DataFrame:
+    """All spans that came, as ``otlp.spans`` gives them, with arrived and batch."""
+    return _taken_in(spark, out).where("kind = 'span'").drop("level", "reason", "kind")
+
+
+def skipped(spark: SparkSession, out: str) -> DataFrame:
+    """level, reason, doc, place, batch of all entries that could not be read."""
+    return _taken_in(spark, out).where("kind = 'skipped'").select("level", "reason", "doc", "place", "batch")
+
+
+def counts(spark: SparkSession, out: str, late_s: int = 600) -> DataFrame:
+    """batch, spans, undated (without a start), late (``late_s`` older than the newest start of earlier batches), skipped."""
+    rows = _taken_in(spark, out)
+    newest = rows.groupBy("batch").agg(F.max("start_ns").alias("newest"))
+    before = F.max("newest").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1))  # a row for each batch
+    rows = rows.join(newest.select("batch", before.alias("before")), "batch")
+    is_span = F.col("kind") == "span"
+    n = lambda test: F.sum(F.when(test, 1).otherwise(0))
+    late = is_span & F.coalesce(F.col("start_ns") < F.col("before") - late_s * 1_000_000_000, F.lit(False))
+    return rows.groupBy("batch").agg(n(is_span).alias("spans"), n(is_span & F.col("start_ns").isNull()).alias("undated"), n(late).alias("late"), n(~is_span).alias("skipped"))
 
 
 def mix_by_window(failures: DataFrame, width: str = "1 day", slide: str | None = None, late: str = LATE) -> DataFrame:
@@ -56,38 +86,6 @@ def mix_by_window(failures: DataFrame, width: str = "1 day", slide: str | None =
     return failures.withWatermark("ts", late).groupBy(window.alias("w"), "taxonomy_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "taxonomy_id", "n")
 
 
-def cusum_alerts(daily: DataFrame, baseline: dict[str, tuple[float, float]], k: float = 0.5, h: float = 5.0) -> DataFrame:
-    """Alerts of a stream of daily counts (taxonomy_id, day, n) against mean and deviation of each class in ``baseline`` (a row for each class).
-
-    The state of a class is its sum and its last day; days come in order within and between batches, a day at or before
-    the last one is late and ignored, and days between are taken with a count of zero. An alert resets the sum.
-    """
-
-    def watch(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mean, std = baseline.get(key[0], (0.0, 0.0))
-        last, s = state.get if state.exists else (None, 0.0)
-        rows = pd.concat(batches).groupby("day")["n"].sum().sort_index()  # a row for each day of one class
-        out = []
-        if mean > 0 and std > 1e-9:
-            for day, n in rows.items():
-                if last is not None and day <= last:
-                    continue
-                missed = (day - last).days - 1 if last is not None else 0
-                for _ in range(missed):
-                    s = max(0.0, s - mean / std - k)
-                    if s == 0:
-                        break
-                s = max(0.0, s + (n - mean) / std - k)
-                last = day
-                if s > h:
-                    out.append((key[0], day, int(n), s))
-                    s = 0.0
-            state.update((last, s))
-        yield pd.DataFrame(out, columns=["taxonomy_id", "day", "observed", "cusum"])
-
-    return daily.groupBy("taxonomy_id").applyInPandasWithState(watch, ALERTS, SUMS, "append", GroupStateTimeout.NoTimeout)
-
-
 def available_now(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Runs over what there is, to Parquet, and ends: one turn of a watch."""
     return stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
