@@ -33,10 +33,10 @@ def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.concat_ws("-", "user_id", "day").alias("trace_id"), "ts", "day", "event_id", "k", pos.alias("pos"), stage[F.col("event_type")].alias("stage"), status.alias("status"), F.col("value").alias("duration_ms"), (F.col("value") / 1000).alias("cost"), F.col("event_type").alias("name"))
 
 
-def event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_traces(spark: SparkSession, sf_dir: str, top_k: int = 20) -> DataFrame:
     k, stage = F.col("k"), F.col("stage")
     known = {
-        "hit_count": F.when(stage == "retrieve", k), "hit_scores": F.when(stage == "retrieve", F.when(k > 0, F.array(k / 100)).otherwise(F.array())), "top_k": F.when(stage == "retrieve", F.lit(20)),
+        "hit_count": F.when(stage == "retrieve", k), "hit_scores": F.when(stage == "retrieve", F.when(k > 0, F.array(k / 100)).otherwise(F.array())), "top_k": F.when(stage == "retrieve", F.lit(top_k)),
         "rerank_delta": F.when(stage == "rerank", (k - 50) / 100), "token_count": F.when(stage == "embed", k),
     }
     attrs = F.struct(*(known.get(n, F.lit(None)).alias(n) for n in ATTR_NAMES))
