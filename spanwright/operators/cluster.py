@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, cluster_terms, mask_numbers
-
-#: Different texts that are linked exactly; above that, k-means on the same weights parts them.
-LINKED = 2000
+from ..keeping import keep
 
 
 def evidence_text(failures: DataFrame) -> DataFrame:
@@ -44,52 +41,96 @@ def tfidf(texts: DataFrame, id_col: str = "trace_id", text: str = "text", min_df
     return rows.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
-def average_linkage(similar: np.ndarray, size: np.ndarray, cut: float = 0.62) -> np.ndarray:
-    """Labels of points with multiplicities, merged while the least mean distance stays within ``cut``."""
-    d = 1 - np.clip(similar, 0, 1)
-    np.fill_diagonal(d, np.inf)
-    label, size = np.arange(len(d)), size.astype(float).copy()
-    while len(d) > 1:
-        i, j = divmod(int(d.argmin()), len(d))
-        if d[i, j] > cut:
-            break
-        i, j = min(i, j), max(i, j)
-        d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i, i] = np.inf
-        d[j] = d[:, j] = np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
+def _close(vectors: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """a, b (a < b), sim of the clusters whose mean cosine similarity is ``least`` or more, from c, term, w (sums of unit vectors) and c, n.
 
-def families(failures: DataFrame, cut: float = 0.62, max_clusters: int = 10, seed: int = 7, linked: int = LINKED) -> DataFrame:
+    The mean similarity of two clusters is the product of their mean vectors. A pair that close has a term in common among those of
+    ``a`` that remain when its most frequent terms, up to a norm of ``least``, are left out; only these terms are joined, so that terms which all
+    clusters share pair nothing.
+    """
+    means = vectors.join(sizes, "c").select("c", "term", (F.col("w") / F.col("n")).alias("m"))
+    spread = means.groupBy("term").agg(F.count("*").alias("df"))
+    frequent_first = Window.partitionBy("c").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    rare = means.join(spread, "term").withColumn("norm", F.sqrt(F.sum(F.col("m") * F.col("m")).over(frequent_first))).where(F.col("norm") >= least - 1e-9)
+    there = means.select("term", F.col("c").alias("b"))
+    found = rare.select("term", F.col("c").alias("a")).join(there, "term").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = means.select(F.col("c").alias("a"), "term", F.col("m").alias("x"))
+    right = means.select(F.col("c").alias("b"), "term", F.col("m").alias("y"))
+    sims = found.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("sim"))
+    return sims.withColumn("sim", F.round("sim", 12)).where(F.col("sim") >= least)  # so that equal sums in another order tie
+
+
+def average_linkage(points: DataFrame, weights: DataFrame, cut: float = 0.62) -> DataFrame:
+    """text, c: clusters of ``points`` (text, n), merged while the least mean distance stays within ``cut``; c is a cluster's smallest text.
+
+    Clusters that are each other's nearest merge in rounds, which for average linkage gives what merging one pair after the
+    other gives; ties go to the smaller texts. ``weights`` (text, term, weight) have norm 1.
+    """
+    member = keep(points.select("text", F.col("text").alias("c")), "linkage-members")
+    sizes = keep(points.select(F.col("text").alias("c"), "n"), "linkage-sizes")
+    vectors = keep(weights.join(points, "text").select(F.col("text").alias("c"), "term", (F.col("weight") * F.col("n")).alias("w")), "linkage-vectors")
+    while True:
+        close = keep(_close(vectors, sizes, 1 - cut), "linkage-pairs")
+        if close.isEmpty():
+            return member
+        order = F.struct(-F.col("sim"), F.col("a"), F.col("b"))
+        each = close.select("a", "b", "sim", F.explode(F.array("a", "b")).alias("own")).groupBy("own").agg(F.min_by(F.struct("a", "b"), order).alias("best"))
+        merged = each.groupBy("best").agg(F.count("*").alias("sides")).where("sides = 2").select(F.col("best.b").alias("c"), F.col("best.a").alias("to"))
+        merged = keep(merged, "linkage-merged")
+        moved = lambda df: df.join(merged, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")  # noqa: E731, B023
+        member = keep(moved(member), "linkage-members")
+        sizes = keep(moved(sizes).groupBy("c").agg(F.sum("n").alias("n")), "linkage-sizes")
+        vectors = keep(moved(vectors).groupBy("c", "term").agg(F.sum("w").alias("w")), "linkage-vectors")
+
+
+def kmeans(points: DataFrame, weights: DataFrame, k: int, seed: int = 7, rounds: int = 50) -> DataFrame:
+    """text, cluster: ``points`` (text, n) in ``k`` parts by seeded k-means over all their terms; equal texts count ``n`` times.
+
+    A part that runs empty begins again with a point drawn anew. ``k`` centres of as many terms as there are, at most, are all that is shared.
+    """
+    drawn = lambda turn: F.xxhash64(F.lit(seed), F.lit(turn), "text")
+    first = points.select("text", drawn(0).alias("at")).orderBy("at", "text").limit(k)
+    rows = keep(weights.join(points, "text"), "kmeans-points")
+    norms = keep(rows.select("text").distinct(), "kmeans-texts")
+    centres = keep(first.withColumn("cluster", F.row_number().over(Window.orderBy("at", "text")) - 1).join(rows, "text").select("cluster", "term", F.col("weight").alias("m")), "kmeans-centres")  # k rows are numbered
+    assigned = None
+    for turn in range(1, rounds + 1):
+        # |x - c|^2 = 1 - 2 xc + |c|^2 for unit x
+        size = centres.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("cc"))
+        dots = rows.join(centres, "term").groupBy("text", "cluster").agg(F.sum(F.col("weight") * F.col("m")).alias("xc"))
+        far = norms.crossJoin(F.broadcast(size)).join(dots, ["text", "cluster"], "left")  # k clusters for each text
+        distance = F.round(F.col("cc") - 2 * F.coalesce("xc", F.lit(0.0)), 12)
+        new = keep(far.groupBy("text").agg(F.min_by("cluster", F.struct(distance, F.col("cluster"))).alias("cluster")), "kmeans-assigned")
+        if assigned is not None and new.join(assigned, ["text", "cluster"], "left_anti").isEmpty():
+            break
+        assigned = new
+        held = rows.join(new, "text")
+        sizes = new.join(points, "text").groupBy("cluster").agg(F.sum("n").alias("size"))
+        means = held.groupBy("cluster", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("s")).join(sizes, "cluster").select("cluster", "term", (F.col("s") / F.col("size")).alias("m"))
+        empty = sorted(set(range(k)) - {r["cluster"] for r in sizes.select("cluster").collect()})  # at most k
+        again = points.select("text", drawn(turn).alias("at")).orderBy("at", "text").limit(len(empty)).withColumn("i", F.row_number().over(Window.orderBy("at", "text")) - 1)
+        if empty:
+            restart = again.select("text", F.array(*map(F.lit, empty))[F.col("i")].alias("cluster")).join(rows, "text").select("cluster", "term", F.col("weight").alias("m"))
+            means = means.unionByName(restart)
+        centres = keep(means, "kmeans-centres")
+    return new
+
+
+def families(failures: DataFrame, cut: float = 0.62, max_clusters: int = 10, seed: int = 7) -> DataFrame:
     """trace_id, taxonomy_id, cluster. Equal texts are one point with its multiplicity.
 
-    Above ``max_clusters`` clusters, and above ``linked`` different texts, k-means parts them; no failures have no clusters.
+    By average linkage; where that leaves more than ``max_clusters`` clusters, k-means parts the texts instead. No failures have no clusters.
     """
-    spark = failures.sparkSession
-    texts = evidence_text(failures)
-    points = texts.groupBy("text").agg(F.count("*").alias("n"))
-    few = points.orderBy("text").limit(linked + 1).collect()
-    if not few:
-        return texts.select("trace_id", "taxonomy_id", F.lit(0).alias("cluster"))
-    if len(few) <= linked:
-        found = tfidf(points, "text", "text", copies="n").collect()  # at most ``linked`` short texts
-        row, col = {r["text"]: k for k, r in enumerate(few)}, {}
-        x = np.zeros((len(few), len({r["term"] for r in found})))
-        for r in found:
-            x[row[r["text"]], col.setdefault(r["term"], len(col))] = r["weight"]
-        labels = average_linkage(x @ x.T, np.array([r["n"] for r in few]), cut)
-        if labels.max() < max_clusters:
-            assigned = spark.createDataFrame([(r["text"], int(k)) for r, k in zip(few, labels, strict=True)], "text string, cluster int")
-            return texts.join(F.broadcast(assigned), "text").select("trace_id", "taxonomy_id", "cluster")
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-
-    rows = texts.withColumn("terms", cluster_terms(F.col("text")))
-    rows = HashingTF(inputCol="terms", outputCol="tf", numFeatures=4096).transform(rows)
-    rows = Normalizer(inputCol="w", outputCol="features").transform(IDF(inputCol="tf", outputCol="w").fit(rows).transform(rows))
-    return KMeans(k=max_clusters, seed=seed).fit(rows).transform(rows).select("trace_id", "taxonomy_id", F.col("prediction").alias("cluster"))
+    texts = keep(evidence_text(failures), "family-texts")
+    points = keep(texts.groupBy("text").agg(F.count("*").alias("n")), "family-points")
+    weights = keep(tfidf(points, "text", "text", copies="n"), "family-weights")
+    linked = average_linkage(points, weights, cut)
+    names = linked.select("c").distinct().orderBy("c").limit(max_clusters + 1)
+    if names.count() > max_clusters:
+        found = kmeans(points, weights, max_clusters, seed)
+    else:
+        found = linked.join(names.withColumn("cluster", F.row_number().over(Window.orderBy("c")) - 1), "c").select("text", "cluster")  # at most ``max_clusters`` rows are numbered
+    return texts.join(found, "text").select("trace_id", "taxonomy_id", "cluster")
 
 
 def cards(members: DataFrame, min_size: int = 2) -> DataFrame:

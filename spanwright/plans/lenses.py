@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..keeping import keep
 from ..schema import ATTR_NAMES, SPAN
 
+__all__ = ["conversation_answers", "event_spans", "event_traces", "keep", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once for several uses: a table in the folder that driver and executors share, or cached where none is named (tests)."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        return df.persist()
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trace for each user and day: their events in order."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", F.to_date("ts").alias("day"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
