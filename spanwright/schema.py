@@ -75,18 +75,18 @@ PLAYBOOKS = {
     "F-INFRA-003": "review the guard's rule on this request and allow it or document the block",
 }
 
-#: The guard that should have stopped each class before it reached a user.
+#: A check that would have seen a failure of each class.
 EXPECTED_GUARDS = {
-    "F-RET-001": "a check for empty retrievals before generating",
-    "F-RET-002": "a least mean score for retrieved context",
-    "F-RET-003": "an alarm on declining retrieval scores",
-    "F-PROMPT-001": "a limit on the size of the prompt",
-    "F-GEN-001": "a validator of the output's format",
-    "F-GEN-002": "a detector of repeated text",
-    "F-GEN-003": "a check that answers are relevant to their context",
-    "F-GEN-004": "a check that answers are grounded in their context",
-    "F-TOOL-001": "a guard that returns tool errors to the model",
-    "F-INFRA-001": "a watchdog over each stage's time",
-    "F-INFRA-002": "a budget for each request",
-    "F-INFRA-003": "the guard itself: it acted, and its decision needs review",
+    "F-RET-001": "ask back when a search finds nothing",
+    "F-RET-002": "compare the scores with those of requests that went well",
+    "F-RET-003": "search for known questions each night and watch their scores",
+    "F-PROMPT-001": "count the tokens of a prompt before it is sent",
+    "F-GEN-001": "parse what comes back and reject what does not parse",
+    "F-GEN-002": "stop writing when the same words come round again",
+    "F-GEN-003": "notice answers that decline although passages were found",
+    "F-GEN-004": "look up each sentence of an answer in its passages",
+    "F-TOOL-001": "read a tool's result before it is used",
+    "F-INFRA-001": "give each stage a time after which it is cut off",
+    "F-INFRA-002": "give each request a sum that it may spend",
+    "F-INFRA-003": "have a person look at what guards block",
 }

@@ -28,24 +28,43 @@ def test_the_chain_of_a_case(cohort):  # noqa: F811
     assert (a.poisoning.span_id, a.poisoning.hits, a.poisoning.top_k, a.poisoning.weakest, a.poisoning.context) == ("r", 2, 4, 0.2, "clouds")
     assert a.poisoning.mean == pytest.approx(0.25) and c.poisoning.weakest is None
     assert tuple(a.divergence) == ("g", 'it "just" is', "stop") and tuple(c.divergence) == (None, None, None)
-    assert (a.guard.state, c.guard.state) == ("passed", "absent") and "F-RET-002" in a.guard.why
+    assert (a.guard.state, a.guard.names, c.guard.state) == ("passed", ["guard"], "absent") and "scores" in a.guard.expected
+    assert [(s.stage, s.fault) for s in a.path] == [("retrieve", True), ("generate", False), ("guard", False)]
     assert (a.blast.downstream, a.blast.stages, a.blast.cost, a.blast.user_facing) == (2, ["generate", "guard"], 0.75, True)
     assert (c.blast.downstream, c.blast.stages, c.blast.user_facing) == (0, [], False)
 
 
 def test_pages_and_tickets(cohort):  # noqa: F811
-    traces = cohort(a=story(), b=good(), c=[span("tool", status="error", error="no such file")])
+    blocked = [*story()[:2], span("guard", "x", blocked=True)]
+    traces = cohort(a=story(), b=good(), c=[span("tool", status="error", error="no such | file")], d=blocked)
     failures = classify.failures(traces)
     rows = {r.trace_id: r for r in incident.pages(traces, failures, titles={"F-RET-002": "Thin context"}, playbooks={"F-TOOL-001": "Restart it"}).collect()}
-    page, ticket = rows["a"].page, rows["a"].ticket
-    assert page.startswith("# Incident a\n\n**Failure**: F-RET-002 Thin context\n") and "- Prompt: why is the sky blue?\n" in page
-    assert "2 of 4 chunks, weakest score 0.200, mean 0.250" in page and "- Spans after it: 2 (generate, guard), cost 0.7500" in page and "- The user saw the output" in page
-    assert '    D["DIVERGENCE: it \'just\' is"]' in page and page.index("### 1.") < page.index("### 5.") < page.index("## Evidence")
-    assert ticket.startswith("[F-RET-002] Thin context (retrieve)\ntrace: a\n") and ticket.splitlines()[-1].startswith("fix: ")
-    assert rows["c"].ticket.endswith("fix: Restart it") and "(not recorded)" in rows["c"].page and "- No span after it" in rows["c"].page
+    page, ticket = rows["a"].page.split("\n"), rows["a"].ticket.split("\n")
+    assert page[:3] == ["# Thin context (F-RET-002)", "", "Trace `a` of p, 2026-01-01T00:00:00Z; stage at fault: retrieve (rule, 0.85)."]
+    assert page[6:12] == [
+        "- asked: why is the sky blue?", "- found: 2 hits of 4, scores from 0.200, 0.250 on average", "- read: clouds", '- answered: it "just" is (stop)', "- checked: by guard, without an objection",
+        "- reached: 2 later spans (generate, guard) worth 0.7500; the user saw it",
+    ]
+    assert [x for x in page if x.startswith("    s")] == ['    s0["retrieve retrieve"]:::fault', '    s1["generate generate"]', '    s2["guard guard"]', "    s0 --> s1", "    s1 --> s2"]
+    assert sum(x.startswith("| F-") for x in page) == 1 and sum(x.startswith("- [ ]") for x in page) == 3
+    assert ticket[0] == "F-RET-002 Thin context" and ticket[-1].startswith("- to do: ") and any(x.startswith("- seen: ") for x in ticket)
+    assert rows["c"].ticket.endswith("- to do: Restart it") and "- asked: not recorded" in rows["c"].page and "- found: nothing was searched" in rows["c"].page and "- reached: no later span; the user did not see it" in rows["c"].page
+    assert "no such / file" in rows["c"].page and "by guard, which blocked it" in rows["d"].page
     assert incident.pages(traces.where("false"), failures).count() == 0
 
 
+def test_short_tickets_and_reviews(cohort):  # noqa: F811
+    traces = cohort(a=story(), b=good(), c=[span("tool", "k", status="error", error="no such file")])
+    failures = classify.failures(traces)
+    short = {r.trace_id: r.ticket.split("\n") for r in incident.tickets(failures, playbooks={"F-TOOL-001": "Restart it"}).collect()}
+    assert set(short) == {"a", "c"} and short["c"][0].startswith("F-TOOL-001 ") and short["c"][0].endswith(" in c") and short["c"][-1] == "- to do: Restart it"
+    assert any("no such file" in x for x in short["c"])
+    top = failures.select("trace_id", "taxonomy_id", F.when(F.col("trace_id") == "a", "generate").otherwise(F.col("stage")).alias("stage"))
+    forms = {r.trace_id: r.review for r in incident.reviews(traces, failures, top).collect()}
+    assert "Furthest from normal: generate, the rules say retrieve (rule, 0.85)." in forms["a"] and "Furthest from normal: tool, as the rules say (rule, 0.90)." in forms["c"]
+    assert incident.reviews(traces, failures, top.where("false")).count() == 2
+
+
 def test_a_report_is_sorted_and_repeats(cohort):  # noqa: F811
     traces = cohort(a=[span("tool", status="error", error="x")], b=story(), c=story(), d=good(), e=[span("tool", status="error", error="y")])
     failures = classify.failures(traces)
