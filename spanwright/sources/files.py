@@ -62,3 +62,14 @@ def create(spark: SparkSession, path: str, text: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     fs, where = _at(spark, path)
     fs.delete(where, True)
+
+
+def replace(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a file over another one."""
+    fs, where = _at(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(to)
+    fs.mkdirs(target.getParent())
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(where), fs.makeQualified(target), options)
