@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stages import normalize_stage, parse_time
@@ -27,7 +27,7 @@ def _span(s: Column, i: Column) -> Column:
     return F.struct(
         i.cast("int").alias("pos"), F.coalesce(s["span_id"], s["id"], F.concat_ws("-", name, i.cast("string"))).alias("span_id"), s["parent_id"].alias("parent_id"), name.alias("name"),
         normalize_stage(F.coalesce(s["stage"], name)).alias("stage"), F.coalesce(s["duration_ms"], s["durationMs"], F.lit(0.0)).alias("duration_ms"),
-        F.when(status.isin("ok", "error", "timeout"), status).otherwise("error").alias("status"), F.coalesce(s["tokens_in"], s["tokensIn"], F.lit(0)).alias("tokens_in"),
+        F.when(status.isin("ok", "error", "timeout"), status).when(status == "", "ok").otherwise("error").alias("status"), F.coalesce(s["tokens_in"], s["tokensIn"], F.lit(0)).alias("tokens_in"),
         F.coalesce(s["tokens_out"], s["tokensOut"], F.lit(0)).alias("tokens_out"), F.coalesce(s["cost"], F.lit(0.0)).alias("cost"), s["attrs"].alias("attrs"),
     ).cast(f"struct<{SPAN}>")
 
@@ -37,45 +37,69 @@ def _attrs(**known: Column) -> Column:
     return F.struct(*(known.get(n, F.lit(None)).alias(n) for n in names)).cast(f"struct<{ATTRS}>")
 
 
-def _evaluation(r: Column) -> Column:
-    """A retrieve span and a generate span from an evaluation record."""
-    hits = F.coalesce(r["retrieved"], r["hits"])
+def _evaluation(r: Column, trace_id: Column) -> Column:
+    """A retrieve span and a generate span from an evaluation record; hits without a score do not count."""
+    hits = F.coalesce(r["retrieved"], r["hits"], F.array().cast("array<string>"))
     score = F.filter(F.transform(hits, lambda h: F.coalesce(h.try_cast("double"), F.get_json_object(h, "$.score").try_cast("double"))), lambda x: x.isNotNull())
     answer = F.coalesce(r["answer"], r["output"], F.lit(""))
     query = F.coalesce(r["query"], r["question"])
     base = {"status": F.lit("ok"), "tokens_in": F.lit(0), "tokens_out": F.lit(0), "cost": F.lit(0.0)}
+    own = lambda stage: F.concat(trace_id, F.lit(f"-{stage}"))
 
-    def span(pos: int, stage: str, ms: Column, attrs: Column) -> Column:
+    def span(pos: int, stage: str, name: str, parent: Column, ms: Column, attrs: Column) -> Column:
         return F.struct(
-            F.lit(pos).alias("pos"), F.lit(f"{stage}-{pos}").alias("span_id"), F.lit(None).alias("parent_id"), F.lit(stage).alias("name"), F.lit(stage).alias("stage"),
+            F.lit(pos).alias("pos"), own(stage).alias("span_id"), parent.alias("parent_id"), F.lit(name).alias("name"), F.lit(stage).alias("stage"),
             F.coalesce(ms, F.lit(0.0)).alias("duration_ms"), *(v.alias(k) for k, v in base.items()), attrs.alias("attrs"),
         ).cast(f"struct<{SPAN}>")
 
     return F.array(
-        span(0, "retrieve", r["retrieval_ms"], _attrs(query=query, top_k=F.coalesce(r["top_k"], F.size(hits)), hit_count=F.coalesce(F.size(hits), F.lit(0)), hit_scores=score)),
-        span(1, "generate", r["generation_ms"], _attrs(output=answer, context=r["context"], finish_reason=F.lit("stop"), prompt_chars=F.coalesce(r["prompt_chars"], 4 * F.length(answer)))),
+        span(0, "retrieve", "hybrid_retrieve", F.lit(None), r["retrieval_ms"], _attrs(query=query, top_k=F.coalesce(F.nullif(r["top_k"], F.lit(0)), F.size(score)), hit_count=F.size(score), hit_scores=score)),
+        span(1, "generate", "generate", own("retrieve"), r["generation_ms"], _attrs(output=answer, context=F.coalesce(r["context"], F.lit("")), prompt_chars=F.coalesce(r["prompt_chars"], 4 * F.length(answer)))),
     )
 
 
 def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Traces, and rejects (line, reason), from ``lines`` (line: number, value: a JSON object as text).
+    """Traces with meta (JSON, or null), and rejects (line, reason), from ``lines`` (line: number, value: a JSON object as text).
 
-    Has spans: a trace. Has query or question: an evaluation record. Else: one span that is a trace of its own.
+    Has spans: a trace. Has query or question: an evaluation record, whose metrics are in meta. Else: one span that is a trace of its own.
+    Blank lines are passed over. A line is rejected if it is not a JSON object, if its spans are not a list of objects, or if its time
+    cannot be read; a record without an id is called after its line.
     """
-    rows = lines.where(F.trim("value") != "").select("line", F.from_json("value", _RECORD, {"mode": "PERMISSIVE"}).alias("r"), F.get_json_object("value", "$.spans").alias("spans"), F.try_parse_json("value").isNotNull().alias("valid"), F.ltrim("value").startswith("{").alias("object"))
-    bad = rows.where("not valid or not object").select("line", F.when(F.col("valid"), "not an object").otherwise("not JSON").alias("reason"))
-    good = rows.where("valid and object")
+    get = lambda key: F.get_json_object("value", f"$.{key}")
+    rows = lines.where(F.trim("value") != "").select(
+        "line", F.from_json("value", _RECORD, {"mode": "PERMISSIVE"}).alias("r"), get("spans").alias("spans"), get("meta").alias("meta"), get("metrics").alias("metrics"),
+        F.try_parse_json("value").isNotNull().alias("valid"), F.ltrim("value").startswith("{").alias("object"),
+    )
     r = F.col("r")
-    own = F.array(_span(r, F.lit(0)))
-    spans = F.when(F.col("spans").isNotNull(), F.transform(r["spans"], _span)).when(r["query"].isNotNull() | r["question"].isNotNull(), _evaluation(r)).otherwise(own)
-    out = good.select("line", "r", spans.alias("spans"))
-    ts = F.coalesce(parse_time(F.coalesce(r["ts"], r["timestamp"])), F.timestamp_micros(F.lit(0)))
-    cost = F.aggregate(F.col("spans"), F.lit(0.0), lambda a, s: a + s["cost"])
+    raw = F.coalesce(r["ts"], r["timestamp"])
+    ts = F.when(F.coalesce(F.trim(raw), F.lit("0")).isin("0", "0.0", ""), F.timestamp_micros(F.lit(0))).otherwise(parse_time(raw))
+    items = F.from_json("spans", "array<string>")
+    off = items.isNull() | F.exists(items, lambda x: ~F.coalesce(F.ltrim(x).startswith("{"), F.lit(False)))
+    reason = F.when(~F.col("valid"), "not JSON").when(~F.col("object"), "not an object").when(F.col("spans").isNotNull() & off, "spans are not a list of objects").when(ts.isNull(), "a time that cannot be read")
+    rows = rows.withColumns({"reason": reason, "ts": ts})
+    bad = rows.where("reason is not null").select("line", "reason")
+    good = rows.where("reason is null")
+    native, evaluated = F.col("spans").isNotNull(), r["query"].isNotNull() | r["question"].isNotNull()
+    trace_id = F.coalesce(r["trace_id"], F.when(native | evaluated, r["id"]), F.concat(F.lit("trace-l"), F.col("line").cast("string")))
+    spans = F.when(native, F.transform(r["spans"], _span)).when(evaluated, _evaluation(r, trace_id)).otherwise(F.array(_span(r, F.lit(0))))
+    metrics = F.concat(F.lit('{"metrics": '), F.coalesce("metrics", F.lit("{}")), F.lit(', "source": "evaluation"}'))
+    meta = F.when(native, F.col("meta")).when(evaluated, metrics)
+    out = good.select("r", trace_id.alias("trace_id"), "ts", spans.alias("own"), meta.alias("meta"), F.when(native, r["total_cost"]).alias("total_cost"), native.alias("native"))
+    cost = F.aggregate(F.col("own"), F.lit(0.0), lambda a, s: a + s["cost"])
     traces = out.select(
-        F.coalesce(r["trace_id"], F.when(F.size(r["spans"]) >= 0, r["id"]), F.concat(F.lit("trace-l"), F.col("line"))).alias("trace_id"), ts.alias("ts"), F.to_date(ts).alias("day"),
-        F.coalesce(r["pipeline_name"], F.when(F.size(r["spans"]) >= 0, r["name"]), F.lit("unknown")).alias("pipeline_name"), F.when(F.coalesce(r["total_cost"], F.lit(0.0)) == 0, cost).otherwise(r["total_cost"]).alias("total_cost"), "spans",
+        "trace_id", "ts", F.to_date("ts").alias("day"), F.coalesce(r["pipeline_name"], F.when(F.col("native"), r["name"]), F.lit("unknown")).alias("pipeline_name"),
+        F.when(F.coalesce("total_cost", F.lit(0.0)) == 0, cost).otherwise(F.col("total_cost")).alias("total_cost"), F.col("own").alias("spans"), "meta",
     )
-    return traces.to(_schema()), bad
+    return traces.select(*(F.col(c) for c in ("trace_id", "ts", "day", "pipeline_name", "total_cost", "spans", "meta"))), bad
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1 in each file), value of text files, however they are split over tasks."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # a row for each part of a file
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "start", "first", before.alias("before"))
+    return rows.join(blocks, ["file", "start"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
 
 
 def _schema():
@@ -85,8 +109,8 @@ def _schema():
 
 
 def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Traces and rejects of JSON Lines files; ``line`` is a number that grows through each file."""
-    return parse_records(spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value"))
+    """Traces and rejects of JSON Lines files, by their lines."""
+    return parse_records(numbered(spark, path))
 
 
 def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
