@@ -65,13 +65,17 @@ def groundedness(output: Column, context: Column) -> Column:
 
     def scored(known: Column) -> Column:
         def one(s: Column) -> Column:
-            toks, names = content_tokens(s), entities(s)
+            # tokens and names are found once for a sentence, not wherever they are named
+            return F.transform(F.array(F.struct(content_tokens(s).alias("toks"), entities(s).alias("names"), negations(s).alias("no"))), of_sentence)[0]
+
+        def of_sentence(x: Column) -> Column:
+            toks, names = x["toks"], x["names"]
             missing = F.aggregate(
                 F.filter(toks, lambda t: ~F.array_contains(known["all"], t)), F.lit(0),
                 lambda a, t: a + F.when(t.rlike("[0-9]") | F.array_contains(names, t), 2).otherwise(1),
             )
             size = F.greatest(F.lit(1), F.size(toks) + F.size(F.array_except(names, known["all"])))
-            base = 1 - F.least(F.lit(1.0), missing / size) - 0.25 * F.size(F.array_except(negations(s), known["no"]))
+            base = 1 - F.least(F.lit(1.0), missing / size) - 0.25 * F.size(F.array_except(x["no"], known["no"]))
             return F.when(F.size(toks) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), base)))
 
         return F.filter(F.transform(sentences(output), one), lambda x: x.isNotNull())
@@ -93,14 +97,13 @@ def repeated_trigrams(text: Column) -> Column:
 
 def _most_repeated(toks: Column) -> Column:
     grams = F.transform(toks, lambda t, i: F.when(i + 2 < F.size(toks), F.xxhash64(t, F.get(toks, i + 1), F.get(toks, i + 2))))
-    ordered = F.array_sort(F.filter(grams, lambda g: g.isNotNull()))
-    runs = F.aggregate(
-        ordered,
-        F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),
-        lambda a, g: F.transform(F.array(F.when(a["last"] == g, a["run"] + 1).otherwise(1)), lambda r: F.struct(g.alias("last"), r.alias("run"), F.greatest(a["best"], r).alias("best")))[0],
-        lambda a: a["best"],
-    )
-    return F.coalesce(runs, F.lit(0))
+    ordered = F.sort_array(F.filter(grams, lambda g: g.isNotNull()))
+
+    def longest(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda g, i: F.when(~F.get(s, i - 1).eqNullSafe(g), i)), lambda i: i.isNotNull())
+        return F.transform(F.array(starts), lambda at: F.array_max(F.transform(at, lambda p, k: F.coalesce(F.get(at, k + 1), F.size(s)) - p)))[0]
+
+    return F.coalesce(F.transform(F.array(ordered), longest)[0], F.lit(0))
 
 
 def refusal(text: Column) -> Column:

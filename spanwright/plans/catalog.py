@@ -293,6 +293,25 @@ def two_of_three(spark, d):
     return drift.two_of_three(drift.chi_square(_grid(spark, d), BASE, DAYS).select("day_idx", (F.col("chi2") > 4).alias("sig")))
 
 
+#: Medians of chi-square by its degrees of freedom.
+_MEDIAN = "CASE df WHEN 1 THEN 0.454936 WHEN 2 THEN 1.386294 WHEN 3 THEN 2.365974 WHEN 4 THEN 3.356694 WHEN 5 THEN 4.351460 END"
+
+
+@query(f"""WITH RECURSIVE {_WINDOWS}, sg AS (SELECT day_idx, chi2 > {_MEDIAN} AS sig FROM ch),
+st AS (SELECT {BASE + DAYS - 1}::BIGINT AS day_idx, false AS alert, CAST([] AS BOOLEAN[]) AS recent UNION ALL
+  SELECT day_idx, alert, CASE WHEN alert THEN CAST([] AS BOOLEAN[]) ELSE r END FROM (SELECT sg.day_idx, list_slice(list_append(st.recent, sg.sig), -3, -1) AS r, sg.sig AND len(list_filter(list_slice(list_append(st.recent, sg.sig), -3, -1), lambda x: x)) >= 2 AS alert FROM st JOIN sg ON sg.day_idx = st.day_idx + 1)),
+bs AS (SELECT taxonomy_id, avg(n) AS m, stddev_pop(n) AS s FROM gr WHERE day_idx <= {BASE} GROUP BY taxonomy_id HAVING avg(n) > 0 AND stddev_pop(n) > 1e-9),
+cu AS (SELECT taxonomy_id, {BASE}::BIGINT AS day_idx, 0.0::DOUBLE AS c, false AS alert FROM bs UNION ALL
+  SELECT cu.taxonomy_id, gr.day_idx, greatest(0, (CASE WHEN cu.alert THEN 0 ELSE cu.c END) + (gr.n - m) / s - 0.5), greatest(0, (CASE WHEN cu.alert THEN 0 ELSE cu.c END) + (gr.n - m) / s - 0.5) > {H}
+  FROM cu JOIN gr ON gr.taxonomy_id = cu.taxonomy_id AND gr.day_idx = cu.day_idx + 1 JOIN bs ON bs.taxonomy_id = cu.taxonomy_id)
+SELECT 'chi_square' AS type, ch.day, NULL::VARCHAR AS taxonomy_id, round(chi2, 6) AS statistic FROM ch JOIN st ON st.day_idx = ch.day_idx WHERE st.alert
+UNION ALL SELECT 'cusum', d.day, cu.taxonomy_id, round(c, 6) FROM cu JOIN (SELECT DISTINCT day, day_idx FROM gr) d USING (day_idx) WHERE cu.alert""")
+def drift_alerts(spark, d):
+    """All alerts, at a level at which half of the windows are significant without any drift."""
+    found = drift.alerts(classify.mix_per_day(_failures(spark, d)), BASE, DAYS, alpha=0.5, h=H)
+    return found.select("type", "day", "taxonomy_id", F.round("statistic", 6).alias("statistic"))
+
+
 _TERMS = r"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{2,}')) AS term FROM documents) GROUP BY ALL)"
 
 
@@ -419,21 +438,24 @@ def chi_square_p_all(spark, d):
     return rows.select("day", F.round("chi2", 6).alias("chi2"), F.col("df").cast("int").alias("df"), F.round(stats.chi2_sf("chi2", F.col("df").cast("double")), 6).alias("p"))
 
 
-@query()
+@query(f"WITH {_TERMS} SELECT term, count(*) AS df, round(ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1, 6) AS idf FROM tf GROUP BY term")
 def doc_freq_idf_all(spark, d):
     docs = table(spark, d, "documents")
     rows = cluster.document_frequency(cluster.term_counts(docs, "doc_id", "text"), docs.count())
     return rows.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query()
+@query(f"""WITH {_TERMS}, df AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN df USING (term)) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def tfidf_weights_documents(spark, d):
     return cluster.tfidf(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query()
+@query("""WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT label, i, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM x GROUP BY label, i),
+p AS (SELECT i, sum(s) * sum(s) AS every, sum(s * s) AS own, sum(q) AS q, sum(n) AS n, sum(n * n) AS nn FROM s GROUP BY i)
+SELECT round(1 - (sum(own) - sum(q)) / (max(nn) - max(n)), 6) AS intra, round(1 - (sum(every) - sum(own)) / (max(n) * max(n) - max(nn)), 6) AS inter FROM p""")
 def label_pair_distances(spark, d):
-    return cluster.pair_distances(table(spark, d, "embeddings"))
+    return cluster.pair_distances(table(spark, d, "embeddings")).select(F.round("intra", 6).alias("intra"), F.round("inter", 6).alias("inter"))
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classify, session, whatif
-from .catalog import EV, LIMITS, TR, query
+from .catalog import EV, LIMITS, ORACLE_SQL, TR, query
 from .lenses import event_traces, keep
 
 #: The hits that a larger k adds to a single hit of k1 / 100, and the scores under each mutation.
@@ -17,6 +17,9 @@ aft AS (SELECT sc.trace_id, mutation, number, taxonomy_id AS before, CASE WHEN t
   round(round(m1, 4) - round(m, 4), 4) AS hit_lift, CASE WHEN number = 2 THEN g WHEN g IS NOT NULL THEN 0.0 END AS rerank_lift FROM sc LEFT JOIN gain USING (trace_id)),
 att AS (SELECT *, after IS DISTINCT FROM before AS resolved, round(coalesce(hit_lift, 0) + coalesce(rerank_lift, 0), 4) AS total_lift FROM aft)"""
 
+#: A k of 20 is more than the mutation asks for: it changes nothing.
+ORACLE_SQL["whatif_all_attempts"] = f"WITH {LIFTED.replace('WHEN number = 0 THEN', 'WHEN false THEN')} SELECT trace_id, mutation, before, after, resolved FROM att"
+
 
 def _attempts(spark, d):
     traces = keep(event_traces(spark, d, top_k=5), "cohort")
