@@ -83,9 +83,12 @@ def nanos_to_time(ns: Column) -> Column:
     return F.timestamp_micros(F.floor(ns / F.lit(1000).cast("decimal(4,0)")).cast("long"))
 
 
-def first_present(attrs: Column, keys: tuple[str, ...]) -> Column:
-    """Value of the first of ``keys`` that ``attrs`` has, even if it is null."""
+def first_present(attrs: Column, keys: tuple[str, ...], prefix: str | None = None) -> Column:
+    """Value of the first of ``keys`` that ``attrs`` has, even if it is null; without any of them that of the first key that begins with ``prefix``."""
     out = F.lit(None).cast("string")
+    if prefix is not None:
+        like = F.get(F.filter(F.map_keys(attrs), lambda k: k.startswith(prefix)), F.lit(0))
+        out = F.when(like.isNotNull(), attrs[like])
     for key in reversed(keys):
         out = F.when(F.map_contains_key(attrs, key), attrs[key]).otherwise(out)
     return out
@@ -108,11 +111,13 @@ def message_text(raw: Column) -> Column:
 
 def canonical(attrs: Column) -> dict[str, Column]:
     """Measures of a span by the names of the trace model, from its attributes (a map of texts)."""
-    docs = F.filter(_items(first_present(attrs, DOCUMENTS)), lambda x: x.isNotNull())
-    of = lambda d, name: F.coalesce(F.get_json_object(d, f"$['document.{name}']"), F.get_json_object(d, f"$.{name}"))
-    scores = F.filter(F.transform(docs, lambda d: F.when(_is_object(d), of(d, "score")).otherwise(d).try_cast("double")), lambda x: x.isNotNull())
-    contents = F.filter(F.transform(docs, lambda d: F.when(_is_object(d), of(d, "content"))), lambda x: x.isNotNull() & (x != ""))
-    finish, query = first_present(attrs, FINISH), first_present(attrs, QUERY)
+    docs = F.try_variant_get(F.try_parse_json(first_present(attrs, DOCUMENTS)), "$", "array<variant>")
+    # a key that is there counts, whatever its value; only numbers are scores
+    of = lambda d, name: F.coalesce(F.try_variant_get(d, f"$['document.{name}']", "variant"), F.try_variant_get(d, f"$.{name}", "variant"))
+    number = lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+    scores = F.filter(F.transform(docs, lambda d: F.when(_object(d).isNotNull(), number(of(d, "score"))).otherwise(number(d))), lambda x: x.isNotNull())
+    contents = F.filter(F.transform(docs, lambda d: F.when(_object(d).isNotNull(), F.try_variant_get(of(d, "content"), "$", "string"))), lambda x: x.isNotNull() & (x != ""))
+    finish, query = first_present(attrs, FINISH), first_present(attrs, QUERY, prefix="retrieval.query")
     return {
         "tokens_in": F.coalesce(whole_number(first_present(attrs, TOKENS_IN)), F.lit(0)), "tokens_out": F.coalesce(whole_number(first_present(attrs, TOKENS_OUT)), F.lit(0)),
         "cost": F.coalesce(first_present(attrs, COST).try_cast("double"), F.lit(0.0)), "model": first_present(attrs, MODEL),

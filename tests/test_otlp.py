@@ -2,6 +2,7 @@ import base64
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanwright.sources import otlp
 
@@ -66,3 +67,18 @@ def test_wrong_shapes_are_counted(read):
 def test_text_that_is_not_json_fails(read):
     with pytest.raises(Exception, match="not JSON"):
         read("{nope").collect()
+
+
+def test_documents_and_queries(spark):
+    docs = [
+        {"document.score": 0.9, "score": 0.1, "document.content": "one"}, {"document.score": None, "score": 0.2}, {"score": "0.3", "content": "two"}, 0.4, "0.5", None, {"content": ""}, {"score": 1},
+    ]
+    cases = {
+        "full": ({"retrieval.documents": docs, "retrieval.query.text": "by prefix", "match.count": "3"}, ([0.9, 0.4, 1.0], 8, "one\ntwo", "by prefix")),
+        "named": ({"search.query": "own", "retrieval.query.text": "other", "match.count": " 3 "}, (None, 3, None, "own")),
+        "null": ({"query": None, "retrieval.query.text": "other", "retrieval.documents": "none"}, (None, None, None, None)),
+    }
+    rows = spark.createDataFrame([(k, json.dumps(v[0])) for k, v in cases.items()], "k string, j string")
+    found = otlp.canonical(F.from_json("j", "map<string,string>"))
+    got = {r.k: (r.hit_scores, r.hit_count, r.context, r.query) for r in rows.select("k", *(found[n].alias(n) for n in ("hit_scores", "hit_count", "context", "query"))).collect()}
+    assert got == {k: v[1] for k, v in cases.items()}
