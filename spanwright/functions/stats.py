@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def percentile(value: Column, q: float) -> Column:
-    """Exact percentile (0 to 100) with linear interpolation; 0 of nothing."""
-    return F.coalesce(F.percentile(value, F.lit(q / 100)), F.lit(0.0))
-
-
 def mean_or_zero(value: Column) -> Column:
     return F.coalesce(F.avg(value), F.lit(0.0))
 

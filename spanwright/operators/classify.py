@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as r
-from ..functions.stats import percentile
+from .order import percentiles
 
 #: Words that speak for a class when an offline scorer reads a description.
 KEYWORDS = {
@@ -27,8 +27,9 @@ KEYWORDS = {
 
 def cost_limit(traces: DataFrame, factor: float = 3.0) -> DataFrame:
     """One row, cost_limit: ``factor`` times the 95th percentile of positive costs; null below 20 of them."""
-    paid = F.when(F.col("total_cost") > 0, F.col("total_cost"))
-    return traces.agg(F.when(F.count(paid) >= 20, F.greatest(F.lit(1e-6), percentile(paid, 95) * factor)).alias("cost_limit"))
+    paid = traces.where("total_cost > 0")
+    limit = paid.agg(F.count("*").alias("n")).join(percentiles(paid, F.col("total_cost"), {"p95": 95.0}), how="left")  # one row each
+    return limit.select(F.when(F.col("n") >= 20, F.greatest(F.lit(1e-6), F.col("p95") * factor)).alias("cost_limit"))
 
 
 #: The rules as one column, by session and limits: to build it takes seconds, however small the table is.

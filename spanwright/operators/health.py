@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import mean_of, of_stage, scores
-from ..functions.stats import mean_or_zero, percentile
+from ..functions.stats import mean_or_zero
 from ..functions.text import groundedness
 from ..schema import STAGES
+from .order import percentiles
 
 
 def spans_of(traces: DataFrame) -> DataFrame:
@@ -27,11 +28,11 @@ def status(error_rate: Column, warn: float = 0.05, crit: float = 0.2) -> Column:
 
 def stage_cards(spans: DataFrame) -> DataFrame:
     """stage, n, p50_ms, p95_ms, error_rate, status; agents have no card."""
-    cards = spans.where(F.col("stage") != "agent").groupBy("stage").agg(
-        F.count("*").alias("n"), percentile(F.col("duration_ms"), 50).alias("p50_ms"), percentile(F.col("duration_ms"), 95).alias("p95_ms"),
-        F.avg(F.when(F.col("status") != "ok", 1.0).otherwise(0.0)).alias("error_rate"),
-    )
-    return cards.withColumn("status", status(F.col("error_rate")))
+    spans = spans.where(F.col("stage") != "agent")
+    cards = spans.groupBy("stage").agg(F.count("*").alias("n"), F.avg(F.when(F.col("status") != "ok", 1.0).otherwise(0.0)).alias("error_rate"))
+    times = percentiles(spans, F.col("duration_ms"), {"p50_ms": 50.0, "p95_ms": 95.0}, ("stage",))
+    cards = cards.join(times, "stage", "left")  # a row for each stage
+    return cards.select("stage", "n", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50_ms", "p95_ms")), "error_rate", status(F.col("error_rate")).alias("status"))
 
 
 def retrieve_card(traces: DataFrame) -> DataFrame:
@@ -57,7 +58,9 @@ def embed_card(spans: DataFrame) -> DataFrame:
 def generate_card(spans: DataFrame) -> DataFrame:
     """Mean and lower quartile of groundedness over outputs that are not blank."""
     a = spans.where("stage = 'generate' and trim(attrs.output) <> ''").select(groundedness(F.col("attrs.output"), F.col("attrs.context")).alias("g"))
-    return a.agg(mean_or_zero(F.col("g")).alias("groundedness"), percentile(F.col("g"), 25).alias("groundedness_p25"), F.count("*").alias("n"))
+    low = percentiles(a, F.col("g"), {"groundedness_p25": 25.0})
+    card = a.agg(mean_or_zero(F.col("g")).alias("groundedness"), F.count("*").alias("n")).join(low, how="left")  # one row each
+    return card.select("groundedness", F.coalesce("groundedness_p25", F.lit(0.0)).alias("groundedness_p25"), "n")
 
 
 def worst(*statuses: Column) -> Column:
