@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -15,3 +16,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share; in local mode without one (tests), a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        return f"{tempfile.mkdtemp(prefix='spanwright-')}/{name}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

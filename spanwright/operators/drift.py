@@ -22,6 +22,11 @@ def daily_grid(daily: DataFrame, days: DataFrame | None = None) -> DataFrame:
     return grid.join(daily, ["day", "taxonomy_id"], "left").select("day", "day_idx", "taxonomy_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def on_days(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """The rows of those days that ``days`` names; a null day is on none."""
+    return rows.join(F.broadcast(days.select("day").distinct()), "day", "left_semi")  # a row for each day
+
+
 def baseline_mix(grid: DataFrame, baseline_days: int = 14) -> DataFrame:
     """taxonomy_id, share in the first days."""
     base = grid.where(F.col("day_idx") <= baseline_days).groupBy("taxonomy_id").agg(F.sum("n").alias("n"))

@@ -30,6 +30,12 @@ def classes(failures: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).orderBy(F.desc("n"), "taxonomy_id")  # a row for each class
 
 
+def sample_traces(traces: DataFrame, found: DataFrame) -> DataFrame:
+    """taxonomy_id and the trace of each sample of ``classes``; samples whose trace is not there are left out."""
+    of = found.select("taxonomy_id", F.col("sample.trace_id").alias("trace_id"))  # a row for each class
+    return traces.join(F.broadcast(of), "trace_id")
+
+
 def timeline(failures: DataFrame) -> DataFrame:
     """day, taxonomy_id, n, in that order."""
     return failures.groupBy("day", "taxonomy_id").agg(F.count("*").alias("n")).orderBy("day", "taxonomy_id")
