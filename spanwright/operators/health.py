@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import mean_of, of_stage, scores
@@ -17,11 +17,6 @@ def spans_of(traces: DataFrame) -> DataFrame:
     return traces.select("trace_id", "ts", "day", F.explode("spans").alias("s")).select("trace_id", "ts", "day", "s.*")
 
 
-def first_of_stage(spans: DataFrame) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("trace_id", "stage").orderBy("pos"))
-    return spans.withColumn("__n", first).where("__n = 1").drop("__n")
-
-
 def status(error_rate: Column, warn: float = 0.05, crit: float = 0.2) -> Column:
     return F.when(error_rate >= crit, "crit").when(error_rate >= warn, "warn").otherwise("ok")
 
@@ -92,7 +87,8 @@ def report_cards(traces: DataFrame, low_score: float = 0.6, grounded_warn: float
     hit, mean, gain, grounded = F.col("hit_rate"), F.col("mean_score"), F.round("mean_delta", 4), F.round("groundedness", 4)
     extra = card("retrieve", retrieve_card(traces), {"hit_rate": F.round(hit, 4), "mean_hit_score": F.round(mean, 4), "k_coverage": F.round("k_coverage", 4)}, (hit < 0.9, below(hit, 0.9, 0.7), "queries without hits"), (mean < low_score, below(mean, 0.6, 0.45), "weak context"))
     extra = extra.unionByName(card("rerank", rerank_card(spans), {"mean_rerank_delta": gain}, (gain < 0.01, F.lit("warn"), "reranking gains nothing")))
-    first = first_of_stage(spans)  # of several generations of a trace the first one counts
+    # of several generations of a trace the first one counts; it stands in the trace's own row
+    first = traces.select(of_stage(F.col("spans"), "generate").alias("s")).where("s is not null").select("s.*")
     extra = extra.unionByName(card("generate", generate_card(first), {"groundedness_mean": grounded, "groundedness_p25": F.round("groundedness_p25", 4)}, (grounded < grounded_warn, below(grounded, grounded_warn, grounded_crit), "answers leave their context")))
     extra = extra.unionByName(card("embed", embed_card(spans), {"token_count_mean": F.round("mean_tokens", 1), "token_count_std": F.round("std_tokens", 1)}))
     rows = own.join(F.broadcast(extra), "stage", "left")  # a row for each stage
