@@ -38,6 +38,15 @@ def of_stage(spans: Column, stage: str) -> Column:
     return first_span(spans, lambda s: s["stage"] == stage)
 
 
+def on_first(spans: Column, test: Callable[[Column], Column], then: Callable[[Column], Column]) -> Column:
+    """``then`` of the first span that passes, which is looked for once however often ``then`` names it; null if none does."""
+    return F.get(F.transform(F.slice(F.filter(spans, test), 1, 1), then), F.lit(0))
+
+
+def on_stage(spans: Column, stage: str, then: Callable[[Column], Column]) -> Column:
+    return on_first(spans, lambda s: s["stage"] == stage, then)
+
+
 def scores(span: Column) -> Column:
     return F.coalesce(span["attrs"]["hit_scores"], F.array().cast("array<double>"))
 
@@ -57,30 +66,31 @@ def verdict(when: Column, taxonomy_id: str, stage: Column | str, confidence: flo
 
 
 def timeout(spans: Column, limits: Limits) -> Column:
-    s = first_span(spans, lambda x: x["status"] == "timeout")
-    return verdict(s.isNotNull(), "F-INFRA-001", s["stage"], 0.95, evidence(s, "status", s["status"]), evidence(s, "duration_ms", F.format_string("%.0f", s["duration_ms"])))
+    return on_first(spans, lambda x: x["status"] == "timeout", lambda s: verdict(F.lit(True), "F-INFRA-001", s["stage"], 0.95, evidence(s, "status", s["status"]), evidence(s, "duration_ms", F.format_string("%.0f", s["duration_ms"]))))
 
 
 def tool_error(spans: Column, limits: Limits) -> Column:
-    s = first_span(spans, lambda x: (x["stage"] == "tool") & (x["status"] == "error"))
-    return verdict(s.isNotNull(), "F-TOOL-001", "tool", 0.90, evidence(s, "error", clip(s["attrs"]["error"], 160)))
+    return on_first(spans, lambda x: (x["stage"] == "tool") & (x["status"] == "error"), lambda s: verdict(F.lit(True), "F-TOOL-001", "tool", 0.90, evidence(s, "error", clip(s["attrs"]["error"], 160))))
 
 
 def empty_retrieval(spans: Column, limits: Limits) -> Column:
-    s = of_stage(spans, "retrieve")
-    return verdict(s.isNotNull() & (F.coalesce(s["attrs"]["hit_count"], F.lit(0)) == 0) & (F.size(scores(s)) == 0), "F-RET-001", "retrieve", 0.95, evidence(s, "hit_count", F.coalesce(s["attrs"]["hit_count"], F.lit(0))), evidence(s, "query", clip(s["attrs"]["query"], 160)))
+    return on_stage(spans, "retrieve", lambda s: verdict((F.coalesce(s["attrs"]["hit_count"], F.lit(0)) == 0) & (F.size(scores(s)) == 0), "F-RET-001", "retrieve", 0.95, evidence(s, "hit_count", F.coalesce(s["attrs"]["hit_count"], F.lit(0))), evidence(s, "query", clip(s["attrs"]["query"], 160))))
 
 
 def weak_retrieval(spans: Column, limits: Limits) -> Column:
-    s = of_stage(spans, "retrieve")
-    mean = F.coalesce(s["attrs"]["mean_hit_score"], mean_of(scores(s)))
-    return verdict((F.size(scores(s)) > 0) & (mean < limits.low_score), "F-RET-002", "retrieve", 0.85, evidence(s, "mean_hit_score", F.format_string("%.3f", mean), f"below {limits.low_score}"))
+    def of(s: Column) -> Column:
+        mean = F.coalesce(s["attrs"]["mean_hit_score"], mean_of(scores(s)))
+        return verdict((F.size(scores(s)) > 0) & (mean < limits.low_score), "F-RET-002", "retrieve", 0.85, evidence(s, "mean_hit_score", F.format_string("%.3f", mean), f"below {limits.low_score}"))
+
+    return on_stage(spans, "retrieve", of)
 
 
 def full_prompt(spans: Column, limits: Limits) -> Column:
-    s = of_stage(spans, "generate")
-    a = s["attrs"]
-    return verdict((a["finish_reason"] == "length") & (a["prompt_chars"] >= limits.context_share * limits.context_chars), "F-PROMPT-001", "generate", 0.90, evidence(s, "finish_reason", a["finish_reason"]), evidence(s, "prompt_chars", a["prompt_chars"]))
+    def of(s: Column) -> Column:
+        a = s["attrs"]
+        return verdict((a["finish_reason"] == "length") & (a["prompt_chars"] >= limits.context_share * limits.context_chars), "F-PROMPT-001", "generate", 0.90, evidence(s, "finish_reason", a["finish_reason"]), evidence(s, "prompt_chars", a["prompt_chars"]))
+
+    return on_stage(spans, "generate", of)
 
 
 @F.pandas_udf(StringType())
@@ -113,15 +123,20 @@ def json_candidate(spans: Column) -> Column:
 
 
 def repetition(spans: Column, limits: Limits) -> Column:
-    s = of_stage(spans, "generate")
-    most = F.when(F.length(s["attrs"]["output"]) >= 80, repeated_trigrams(s["attrs"]["output"]))
-    return verdict(most >= limits.repeats, "F-GEN-002", "generate", 0.90, evidence(s, "repeats", most))
+    def of(s: Column) -> Column:
+        most = F.when(F.length(s["attrs"]["output"]) >= 80, repeated_trigrams(s["attrs"]["output"]))
+        return F.transform(F.array(most), lambda n: verdict(n >= limits.repeats, "F-GEN-002", "generate", 0.90, evidence(s, "repeats", n)))[0]
+
+    return on_stage(spans, "generate", of)
 
 
 def declined(spans: Column, limits: Limits) -> Column:
-    s, r = of_stage(spans, "generate"), of_stage(spans, "retrieve")
-    phrase = refusal(s["attrs"]["output"]) if limits.refusals == REFUSALS else F.get(F.filter(F.array(*map(F.lit, limits.refusals)), lambda p: F.contains(F.lower(s["attrs"]["output"]), p)), F.lit(0))
-    return verdict(phrase.isNotNull() & (mean_of(scores(r)) >= limits.low_score), "F-GEN-003", "generate", 0.80, evidence(s, "refusal", phrase), evidence(r, "mean_hit_score", F.format_string("%.3f", mean_of(scores(r)))))
+    def of(s: Column) -> Column:
+        phrase = refusal(s["attrs"]["output"]) if limits.refusals == REFUSALS else F.get(F.filter(F.array(*map(F.lit, limits.refusals)), lambda p: F.contains(F.lower(s["attrs"]["output"]), p)), F.lit(0))
+        on = lambda r: verdict(phrase.isNotNull() & (mean_of(scores(r)) >= limits.low_score), "F-GEN-003", "generate", 0.80, evidence(s, "refusal", phrase), evidence(r, "mean_hit_score", F.format_string("%.3f", mean_of(scores(r)))))
+        return F.when(phrase.isNotNull(), on_stage(spans, "retrieve", on))
+
+    return on_stage(spans, "generate", of)
 
 
 def cost_spike(spans: Column, limits: Limits) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_sf
+from ..keeping import keep
 
 
 def daily_grid(daily: DataFrame, days: DataFrame | None = None) -> DataFrame:
@@ -83,7 +84,7 @@ def cusum(grid: DataFrame, baseline_days: int = 14, k: float = 0.5, h: float = 5
 
 def alerts(daily: DataFrame, baseline_days: int = 14, window_days: int = 3, alpha: float = 0.01, two_cell: bool = False, h: float = 5.0, days: DataFrame | None = None) -> DataFrame:
     """type, day, taxonomy_id, statistic of each alert; ``days`` as for ``daily_grid``."""
-    grid = daily_grid(daily, days)
+    grid = daily_grid(keep(daily, "daily"), days)  # days x classes rows; not kept, every branch below would count the failures anew
     tested = chi_square(grid, baseline_days, window_days, two_cell).withColumn("p", chi2_sf("chi2", F.col("df").cast("double")))
     fired = two_of_three(tested.select("day_idx", F.coalesce(F.col("p") < alpha, F.lit(False)).alias("sig"))).where("alert").select("day_idx")
     chi = tested.join(fired, "day_idx").select(F.lit("chi_square").alias("type"), "day", F.lit(None).cast("string").alias("taxonomy_id"), F.col("chi2").alias("statistic"))

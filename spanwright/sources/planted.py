@@ -123,19 +123,22 @@ def plant(rows: DataFrame, seed: int = 42, drift_day: int = DRIFT_DAY, pipeline:
         prompt_chars=case(("F-PROMPT-001", whole("full", CONTEXT_CHARS - 40, CONTEXT_CHARS - 1)), ("F-INFRA-002", F.col("__spike") * 4), healthy=F.col("__prompt")), finish_reason=F.when(is_("F-PROMPT-001", "F-GEN-001"), "length").otherwise("stop"),
         context=case(("F-RET-001", F.lit("")), ("F-RET-002", one_of("stray", STRAY)), healthy=F.col("__fact.context")), output_format=F.when(is_("F-GEN-001"), "json"),
     )
-    spans = F.array(
-        span("embed", "embed", None, between("embed", 6, 18), token_count=whole("embedded", 20, 60), model=F.lit("embed-s")),
-        span("retrieve", "hybrid_retrieve", "embed", between("retrieve", 25, 110), query=one_of("question", QUESTIONS), top_k=F.lit(TOP_K), hit_count=F.size("__scores"), hit_scores=F.col("__scores")),
-        F.when((F.size("__scores") > 0) & (draw(seed, "reranks") < 0.85), span("rerank", "rerank", "retrieve", between("rerank", 12, 45), rerank_top1=F.round(F.least(F.lit(0.99), mean + F.col("__gain")), 3), rerank_delta=F.round("__gain", 3))),
-        F.when(draw(seed, "hops") < 0.15, span("graph", "graph_merge", "retrieve", between("graph", 30, 90))), generate,
-        F.when(draw(seed, "guards") < 0.5, span("guard", "guardrails", "generate", between("guard", 2, 8), blocked=F.lit(False))),
-        F.when(draw(seed, "calls") < 0.25, span("tool", "look_up", "generate", between("tool", 40, 300))),
-    )
-    there = F.filter(spans, lambda s: s.isNotNull())
+    each = {
+        "embed": span("embed", "embed", None, between("embed", 6, 18), token_count=whole("embedded", 20, 60), model=F.lit("embed-s")),
+        "retrieve": span("retrieve", "hybrid_retrieve", "embed", between("retrieve", 25, 110), query=one_of("question", QUESTIONS), top_k=F.lit(TOP_K), hit_count=F.size("__scores"), hit_scores=F.col("__scores")),
+        "rerank": F.when((F.size("__scores") > 0) & (draw(seed, "reranks") < 0.85), span("rerank", "rerank", "retrieve", between("rerank", 12, 45), rerank_top1=F.round(F.least(F.lit(0.99), mean + F.col("__gain")), 3), rerank_delta=F.round("__gain", 3))),
+        "graph": F.when(draw(seed, "hops") < 0.15, span("graph", "graph_merge", "retrieve", between("graph", 30, 90))),
+        "generate": generate,
+        "guard": F.when(draw(seed, "guards") < 0.5, span("guard", "guardrails", "generate", between("guard", 2, 8), blocked=F.lit(False))),
+        "tool": F.when(draw(seed, "calls") < 0.25, span("tool", "look_up", "generate", between("tool", 40, 300))),
+    }
+    # a column for each span: drawn by compiled code, and once; inside a lambda every draw would be interpreted
+    rows = rows.select("*", *(s.alias(f"__{n}_span") for n, s in each.items()))
+    own = [F.col(f"__{n}_span") for n in each]
+    there = F.filter(F.array(*own), lambda s: s.isNotNull())
     numbered = F.transform(there, lambda s, i: s.withField("pos", i)).cast(f"array<struct<{SPAN}>>")
-    out = rows.select("trace_id", "ts", F.to_date("ts").alias("day"), F.lit(pipeline).alias("pipeline_name"), "day_no", "planted", numbered.alias("spans"))
-    total = F.round(F.aggregate("spans", F.lit(0.0), lambda a, s: a + s["cost"]), 6)
-    return out.select("trace_id", "ts", "day", "pipeline_name", total.alias("total_cost"), "spans", "day_no", "planted")
+    total = F.round(sum((F.coalesce(s["cost"], F.lit(0.0)) for s in own), F.lit(0.0)), 6)
+    return rows.select("trace_id", "ts", F.to_date("ts").alias("day"), F.lit(pipeline).alias("pipeline_name"), total.alias("total_cost"), numbered.alias("spans"), "day_no", "planted")
 
 
 def corpus(spark: SparkSession, seed: int = 42, days: int = 28, per_day: int = 20) -> DataFrame:
