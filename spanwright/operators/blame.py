@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import mean_of
 from ..functions.stats import zscore
-from .health import spans_of, stage_order
+from .health import stage_order
 
 #: Signals of each stage, and which direction is bad.
 SIGNALS = (
@@ -32,21 +32,31 @@ EVIDENCE_WEIGHT = 1.5
 _ON_SPAN = ("duration_ms", "tokens_in", "tokens_out", "cost")
 
 
-def signals(traces: DataFrame) -> DataFrame:
-    """trace_id, stage, pos, signal, spec (its number), direction, value: what was measured on each span."""
-    spans = spans_of(traces)
-    value = {n: F.col(n if n in _ON_SPAN else f"attrs.{n}").cast("double") for n in dict.fromkeys(s[1] for s in SIGNALS)}
-    value["mean_hit_score"] = F.coalesce(value["mean_hit_score"], mean_of(F.col("attrs.hit_scores")))
-    each = [F.when(F.col("stage") == st, F.struct(F.lit(n).alias("signal"), F.lit(k).alias("spec"), F.lit(d).alias("direction"), value[n].alias("value"))) for k, (st, n, d) in enumerate(SIGNALS)]
-    out = spans.select("trace_id", "stage", "pos", F.explode(F.filter(F.array(*each), lambda x: x["value"].isNotNull())).alias("x"))
-    return out.select("trace_id", "stage", "pos", "x.*")
+def measured(traces: DataFrame) -> DataFrame:
+    """trace_id, m: what was measured on the spans of each trace, as an array of spec (number of the signal), pos, value.
+
+    Only this is shuffled, never the spans with their texts.
+    """
+
+    def of(s: Column) -> Column:
+        value = {n: (s[n] if n in _ON_SPAN else s["attrs"][n]).cast("double") for n in dict.fromkeys(x[1] for x in SIGNALS)}
+        value["mean_hit_score"] = F.coalesce(value["mean_hit_score"], mean_of(s["attrs"]["hit_scores"]))
+        return F.array(*(F.when(s["stage"] == st, F.struct(F.lit(k).alias("spec"), s["pos"].alias("pos"), value[n].alias("value"))) for k, (st, n, _) in enumerate(SIGNALS)))
+
+    own = F.filter(F.flatten(F.transform("spans", of)), lambda x: x["value"].isNotNull())
+    return traces.select("trace_id", own.alias("m"))
+
+
+def _of_spec(k: int, spec: Column) -> Column:
+    """Stage, signal or direction (``k``) of a signal's number."""
+    return F.array(*(F.lit(x[k]) for x in SIGNALS))[spec]
 
 
 def baseline(traces: DataFrame, failures: DataFrame) -> DataFrame:
     """stage, signal, mean, std over the traces that did not fail; signals that are always 0 have none."""
-    healthy = traces.join(failures.select("trace_id").distinct(), "trace_id", "left_anti")
-    out = signals(healthy).groupBy("stage", "signal").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return out.where("mean <> 0 or std <> 0")
+    healthy = measured(traces).join(failures.select("trace_id").distinct(), "trace_id", "left_anti").select(F.explode_outer("m").alias("x")).where("x is not null")  # a plain explode would have its array built twice, for a filter
+    out = healthy.groupBy("x.spec").agg(F.avg("x.value").alias("mean"), F.stddev_pop("x.value").alias("std"))
+    return out.where("mean <> 0 or std <> 0").select(_of_spec(0, F.col("spec")).alias("stage"), _of_spec(1, F.col("spec")).alias("signal"), "mean", "std")
 
 
 def last_failure(failures: DataFrame) -> DataFrame:
@@ -58,16 +68,23 @@ def last_failure(failures: DataFrame) -> DataFrame:
 def candidates(traces: DataFrame, failures: DataFrame, base: DataFrame) -> DataFrame:
     """trace_id, stage, signal, z_score, score, rank of the suspicious stages of each failed trace."""
     last = last_failure(failures).withColumnRenamed("stage", "pinned")
-    failed = traces.join(last.select("trace_id"), "trace_id", "left_semi")
-    z = zscore(F.col("value"), F.col("mean"), F.col("std"))
-    bad = F.when(F.col("direction") == "high", z).when(F.col("direction") == "low", -z).otherwise(F.abs(z))
-    rows = signals(failed).join(F.broadcast(base), ["stage", "signal"]).withColumn("z", bad).where("z > 0")  # a row for each signal
-    best = Window.partitionBy("trace_id", "stage").orderBy(F.round("z", 9).desc(), "pos", "spec")
-    rows = rows.withColumn("__n", F.row_number().over(best)).where("__n = 1").join(last, "trace_id")
-    score = F.round(F.col("z") + F.when(F.col("stage") == F.col("pinned"), EVIDENCE_WEIGHT).otherwise(0.0), 4)
-    rows = rows.select("trace_id", "taxonomy_id", "stage", "signal", F.round("z", 4).alias("z_score"), score.alias("score"))
-    order = Window.partitionBy("trace_id").orderBy(F.desc("score"), stage_order(F.col("stage")))
-    return rows.withColumn("rank", F.row_number().over(order))
+    # a trace is one row from here on, and its stages are compared within it
+    rows = measured(traces).join(last, "trace_id").groupBy("trace_id", "taxonomy_id", "pinned").agg(F.flatten(F.collect_list("m")).alias("m"))
+    number = F.create_map(*(F.lit(x) for k, (st, n, _) in enumerate(SIGNALS) for x in (f"{st}/{n}", k)))[F.concat_ws("/", "stage", "signal")]
+    known = base.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(number, F.struct("mean", "std")))).alias("b"))  # one row, an entry for each signal
+    rows = rows.crossJoin(F.broadcast(known.select(F.array(*(F.try_element_at("b", F.lit(k)) for k in range(len(SIGNALS)))).alias("__base"))))
+
+    def scored(x: Column) -> Column:
+        of = F.get(F.col("__base"), x["spec"])
+        return F.transform(F.array(zscore(x["value"], of["mean"], of["std"])), lambda z: F.transform(F.array(F.when(_of_spec(2, x["spec"]) == "high", z).when(_of_spec(2, x["spec"]) == "low", -z).otherwise(F.abs(z))), lambda b: F.struct(_of_spec(0, x["spec"]).alias("stage"), F.round(b, 9).alias("z9"), (-x["pos"]).alias("before"), (-x["spec"]).alias("spec"), b.alias("z"))))
+
+    found = F.filter(F.flatten(F.flatten(F.transform("m", scored))), lambda x: x["z"] > 0)
+    ordered = F.sort_array(found, asc=False)  # by stage; the worst of each first
+    best = F.transform(F.array(ordered), lambda o: F.filter(o, lambda x, i: (i == 0) | (F.get(o, i - 1)["stage"] != x["stage"])))[0]
+    score = lambda x: F.round(x["z"] + F.when(x["stage"] == F.col("pinned"), EVIDENCE_WEIGHT).otherwise(0.0), 4)
+    ranked = F.sort_array(F.transform(best, lambda x: F.struct(score(x).alias("score"), (-stage_order(x["stage"])).alias("order"), x["stage"].alias("stage"), _of_spec(1, -x["spec"]).alias("signal"), F.round(x["z"], 4).alias("z_score"))), asc=False)
+    out = rows.select("trace_id", "taxonomy_id", F.posexplode_outer(ranked).alias("i", "x")).where("x is not null")
+    return out.select("trace_id", "taxonomy_id", "x.stage", "x.signal", "x.z_score", "x.score", (F.col("i") + 1).alias("rank"))
 
 
 def top_stage(traces: DataFrame, failures: DataFrame, base: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Traces written by hand, with the outcome written by hand."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,14 @@ def test_cards_take_the_worst_status(cohort):
 def test_measures_of_a_trace(cohort):
     rows = {r.trace_id: (r.mean_hit_score, r.groundedness, r.rerank_delta) for r in health.trace_health(cohort(a=good(), b=[span("retrieve"), span("rerank")], c=[span("tool")])).collect()}
     assert rows == {"a": (0.85, 1.0, 0.2), "b": (0.0, None, 0.0), "c": (None, None, None)}
+
+
+def test_blame_shuffles_no_texts(spark):
+    """Only what was measured is shuffled, not the spans with their outputs."""
+    traces = spark.createDataFrame([{"trace_id": "a", "spans": good()}, {"trace_id": "b", "spans": good()}], TRACES)
+    failures = spark.createDataFrame([("b", "F-GEN-003", "generate")], "trace_id string, taxonomy_id string, stage string")
+    base = blame.baseline(traces, failures)
+    for found in (base, blame.candidates(traces, failures, base)):
+        plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        moved = [block for block in plan.split("\n\n") if re.search(r"^\(\d+\) Exchange", block, re.M)]
+        assert moved and not any("spans#" in block or "attrs" in block for block in moved)
