@@ -75,7 +75,16 @@ def keyword_verdict(text: Column) -> Column:
     """The class whose keywords occur most often (ties to the smaller id) and its confidence; null without any."""
     from ..functions.text import occurrences
 
-    low = F.lower(text)
-    each = [F.struct((-sum((occurrences(low, k) for k in words), F.lit(0))).alias("n"), F.lit(c).alias("id")) for c, words in KEYWORDS.items()]
-    best = F.array_min(F.array(*each))
-    return F.when(best["n"] < 0, F.struct(best["id"].alias("taxonomy_id"), F.least(F.lit(0.75), 0.40 - 0.05 * best["n"]).alias("confidence")))
+    # the text in small letters and the counts are found once, not wherever they are named
+    def best(low: Column) -> Column:
+        return F.array_min(F.array(*(F.struct((-sum((occurrences(low, k) for k in words), F.lit(0))).alias("n"), F.lit(c).alias("id")) for c, words in KEYWORDS.items())))
+
+    def told(x: Column) -> Column:
+        return F.when(x["n"] < 0, F.struct(x["id"].alias("taxonomy_id"), F.least(F.lit(0.75), 0.40 - 0.05 * x["n"]).alias("confidence")))
+
+    return F.transform(F.transform(F.array(F.lower(text)), best), told)[0]
+
+
+def keyword_verdicts(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """``id_col`` and v, the ``keyword_verdict``, of the rows that have one. Taken from a generator: a filter would score each text anew."""
+    return rows.select(id_col, F.explode_outer(F.array(keyword_verdict(text))).alias("v")).where("v is not null")

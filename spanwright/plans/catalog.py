@@ -147,7 +147,7 @@ _KW = ", ".join(f"({_LIST(ws)}, '{c}')" for c, ws in classify.KEYWORDS.items())
 @query(f"""WITH kw AS (SELECT * FROM (VALUES {_KW}) v(words, id)), s AS (SELECT doc_id, id, list_sum(list_transform(words, lambda w: (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w))) AS n FROM documents, kw)
 SELECT doc_id, arg_min(id, (-n, id)) AS taxonomy_id, round(least(0.75, 0.40 + 0.05 * max(n)), 6)::DOUBLE AS confidence FROM s GROUP BY doc_id HAVING max(n) > 0""")
 def keyword_score(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", classify.keyword_verdict(F.col("text")).alias("v")).where("v is not null")
+    rows = classify.keyword_verdicts(table(spark, d, "documents"), "doc_id", F.col("text"))
     return rows.select("doc_id", "v.taxonomy_id", F.round("v.confidence", 6).cast("double").alias("confidence"))
 
 

@@ -160,7 +160,7 @@ def keyword_score_events(spark, d):
     e = table(spark, d, "events").withColumn("w", F.array(*map(F.lit, _WORDS)))
     one, two = (F.get(F.col("w"), (x % len(_WORDS)).cast("int")) for x in (F.get_json_object("props", "$.k").cast("long"), F.col("event_id")))
     text = F.concat("event_type", F.lit(" "), one, F.lit(", "), F.upper(two), two)
-    rows = e.select("event_id", classify.keyword_verdict(text).alias("v")).where("v is not null")
+    rows = classify.keyword_verdicts(e, "event_id", text)
     return rows.select("event_id", "v.taxonomy_id", F.round("v.confidence", 6).cast("double").alias("confidence"))
 
 
