@@ -33,6 +33,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from ._shared import materialise, mix, powers, prefix_sums
 from .suffix_array import common_prefix_reaches, suffix_array
@@ -306,19 +307,33 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     return found.mapInPandas(count, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@F.pandas_udf(BinaryType())
+def _squeezed(text: pd.Series) -> pd.Series:
+    squeeze = zstandard.ZstdCompressor(level=1)
+    return text.map(lambda t: None if t is None else squeeze.compress(t.encode("utf-8", "surrogatepass")))
+
+
+@F.pandas_udf(StringType())
+def _without(packed: pd.Series, spans: pd.Series) -> pd.Series:
+    """The texts without what their spans cover; a null stays null."""
+
+    def one(text: bytes | None, own) -> str | None:
+        if text is None:
+            return None
+        raw = _unpack(text)
+        return raw.decode("utf-8", "surrogatepass") if own is None else b"".join(kept_bytes(raw, own)[0]).decode("utf-8", "ignore")
+
+    return pd.Series([one(*x) for x in zip(packed, spans, strict=True)], dtype=object)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes gone from ``text``; all rows and columns stay, a null text stays null."""
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("text"), F.xxhash64("doc_id", "text").alias("row"))
-    found = materialise(spans(row.select("row", "text")), "suffix-spans")
+    """``docs`` with the repeated bytes gone from ``text``; all rows and columns stay, a null text stays null.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [b"".join(kept_bytes(t.encode("utf-8", "surrogatepass"), s)[0]).decode("utf-8", "ignore") if s is not None else t for t, s in zip(batch["text"], batch["spans"], strict=True)]
-            yield batch[["doc"]].assign(cut=texts)
-
-    joined = row.join(found, "row", "left")
-    whole = joined.where("spans is null").select("doc.*")
-    schema = row.select("doc", F.lit("").alias("cut")).schema
-    changed = joined.where("spans is not null").select("doc", "text", "spans").mapInPandas(cut, schema)
-    changed = changed.select(*(F.col("cut").alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
-    return whole.unionByName(changed)
+    Each document is shuffled once, with its text compressed.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("doc"), F.col("text"), F.xxhash64("doc_id", "text").alias("row"))
+    found = materialise(spans(row.select("row", "text")), "suffix-spans")
+    joined = row.select("doc", "row", _squeezed("text").alias("packed")).join(found, "row", "left")
+    cut = joined.select("doc", _without("packed", "spans").alias("text"))
+    return cut.select(*(F.col(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))

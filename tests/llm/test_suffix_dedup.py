@@ -86,3 +86,15 @@ def test_odd_rows(odd):
     assert d.remove_repeats(wide).columns == wide.columns
     assert d.remove_repeats(wide).count() == d.report(odd).count() == odd.count()
     assert d.report(odd.limit(0)).count() == 0
+
+
+def test_documents_meet_their_spans_in_one_join(documents):
+    texts = [*planted(), "é".join(map(str, range(150))) + "🙂"]
+    cut = d.remove_repeats(documents(*enumerate(texts)))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Union" not in plan  # else texts are shuffled once for each branch
+    removed = {r.doc_id: r.n_removed for r in d.report(documents(*enumerate(texts))).collect()}
+    left = {r.doc_id: r.text for r in cut.collect()}
+    assert left[0] is None and left[1] == "" and left[len(texts) - 1] == texts[-1]
+    assert all((left[k] or "") == (texts[k] or "") for k in left if not removed[k])
+    assert all(len(left[k]) == len(texts[k]) - removed[k] for k in left if removed[k] and texts[k].isascii())
