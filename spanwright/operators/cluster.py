@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,15 @@ def evidence_text(failures: DataFrame) -> DataFrame:
     return texts.select("trace_id", "taxonomy_id", F.concat_ws(" ", F.concat(F.lit("stage="), F.col("stage")), F.col("p.part")).alias("text"))
 
 
-def term_counts(texts: DataFrame, id_col: str, text: str) -> DataFrame:
-    return texts.select(id_col, F.explode(cluster_terms(F.col(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+#: Texts of one task, and bytes of a table of terms that every task may hold.
+TEXTS, HELD = 4096, 128_000_000
+
+
+def term_counts(texts: DataFrame, id_col: str, text: str, n_texts: int = 0) -> DataFrame:
+    """id, term, tf. The texts are shuffled by id, once, and not a row for each of their terms; what goes by id next needs no shuffle."""
+    number = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_texts // TEXTS)
+    own = texts.select(*dict.fromkeys((id_col, text))).repartition(number, id_col)
+    return own.select(id_col, F.explode(cluster_terms(F.col(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame, n_texts: int, min_df: int = 1, copies: str | None = None) -> DataFrame:
@@ -31,12 +40,17 @@ def document_frequency(counts: DataFrame, n_texts: int, min_df: int = 1, copies:
 
 def tfidf(texts: DataFrame, id_col: str = "trace_id", text: str = "text", min_df: int = 1, copies: str | None = None) -> DataFrame:
     """id, term, weight; the weights of a text have norm 1. ``copies``: a column of ``texts``, where a row stands for so many equal texts."""
-    counts = term_counts(texts, id_col, text)
+    n_texts = texts.count()
+    counts = own = term_counts(texts, id_col, text, n_texts)
     if copies:
-        counts, n_texts = counts.join(texts.select(id_col, copies), id_col), texts.agg(F.sum(copies)).head()[0] or 0
-    else:
-        n_texts = texts.count()
-    rows = counts.join(document_frequency(counts, n_texts, min_df, copies), "term").withColumn("w", F.col("tf") * F.col("idf"))
+        own, n_texts = counts.join(texts.select(id_col, copies), id_col), texts.agg(F.sum(copies)).head()[0] or 0
+    terms = keep(document_frequency(own, n_texts, min_df, copies), "term-frequency")
+    # the rows stay where their texts are, unless there are too many terms to hold; terms of one text have one idf and are not held
+    once = F.lit(math.log((1.0 + n_texts) / 2) + 1) if min_df <= 1 and not copies else F.lit(None)
+    some = terms.where("df > 1") if min_df <= 1 and not copies else terms
+    held = some.agg(F.sum(F.octet_length("term") + 64)).head()[0] or 0
+    rows = counts.join(F.broadcast(some), "term", "left") if held <= HELD else counts.join(terms.hint("merge"), "term")
+    rows = rows.withColumn("idf", F.coalesce("idf", once)).where("idf is not null").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return rows.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 

@@ -441,7 +441,8 @@ def chi_square_p_all(spark, d):
 @query(f"WITH {_TERMS} SELECT term, count(*) AS df, round(ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1, 6) AS idf FROM tf GROUP BY term")
 def doc_freq_idf_all(spark, d):
     docs = table(spark, d, "documents")
-    rows = cluster.document_frequency(cluster.term_counts(docs, "doc_id", "text"), docs.count())
+    n = docs.count()
+    rows = cluster.document_frequency(cluster.term_counts(docs, "doc_id", "text", n), n)
     return rows.select("term", "df", F.round("idf", 6).alias("idf"))
 
 

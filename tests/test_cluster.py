@@ -72,3 +72,15 @@ def test_kmeans_ends_with_every_text_nearest_to_its_own_centre(spark):
 def test_kmeans_with_fewer_texts_than_parts(spark):
     points, weights, names, _ = vectors(spark, {"one thing": 2, "other matter": 1})
     assert len({r.cluster for r in cluster.kmeans(points, weights, 5).collect()}) == 2
+
+
+def test_terms_stay_with_their_texts(spark, monkeypatch):
+    texts = spark.createDataFrame([(k % 7, f"red blue_{k % 3} word{k} red") for k in range(20)] + [(None, "red"), (8, None)], "i long, t string")
+    found = cluster.tfidf(texts, "i", "t")
+    rows = lambda df: sorted((r.i if r.i is not None else -1, r.term, round(r.weight, 9)) for r in df.collect())
+    got = rows(found)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1  # texts by id; a row for each term is never shuffled
+    monkeypatch.setattr(cluster, "HELD", 0)
+    assert rows(cluster.tfidf(texts, "i", "t")) == got and (-1, "red", 1.0) in got
+    assert sum(w * w for i, _, w in got if i == 3) == pytest.approx(1)
