@@ -10,7 +10,11 @@ from ..schema import STAGE_ALIASES, STAGES
 
 def normalize_stage(raw: Column) -> Column:
     """An alias gives its stage, else the first alias that is part of the name, else ``tool``."""
-    key = F.regexp_replace(F.lower(F.trim(raw)), "[- ]", "_")
+    # the key is made once, not for each alias that it is compared with
+    return F.transform(F.array(F.regexp_replace(F.lower(F.trim(raw)), "[- ]", "_")), _stage_of)[0]
+
+
+def _stage_of(key: Column) -> Column:
     out = F.lit("tool")
     for alias, stage in reversed(STAGE_ALIASES.items()):
         out = F.when(F.contains(key, F.lit(alias)), stage).otherwise(out)
