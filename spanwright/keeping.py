@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -18,6 +19,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows out of a generator, so that later filters and columns take the values as they are instead of computing them anew."""
+    one = df.select(F.explode(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).alias("__row"))
+    return one.select(*(F.col(f"__row.`{c}`").alias(c) for c in df.columns))
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share; in local mode without one (tests), a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)

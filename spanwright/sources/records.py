@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stages import normalize_stage, parse_time
+from ..keeping import settled
 from ..schema import ATTRS, SPAN, TRACES
 
 
@@ -66,7 +67,7 @@ def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     cannot be read; a record without an id is called after its line.
     """
     get = lambda key: F.get_json_object("value", f"$.{key}")
-    rows = lines.where(F.trim("value") != "").select(
+    rows = settled(lines.select("line", "value")).where(F.trim("value") != "").select(
         "line", F.from_json("value", _RECORD, {"mode": "PERMISSIVE"}).alias("r"), get("spans").alias("spans"), get("meta").alias("meta"), get("metrics").alias("metrics"),
         F.try_parse_json("value").isNotNull().alias("valid"), F.ltrim("value").startswith("{").alias("object"),
     )
@@ -76,7 +77,7 @@ def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = F.from_json("spans", "array<string>")
     off = items.isNull() | F.exists(items, lambda x: ~F.coalesce(F.ltrim(x).startswith("{"), F.lit(False)))
     reason = F.when(~F.col("valid"), "not JSON").when(~F.col("object"), "not an object").when(F.col("spans").isNotNull() & off, "spans are not a list of objects").when(ts.isNull(), "a time that cannot be read")
-    rows = rows.withColumns({"reason": reason, "ts": ts})
+    rows = settled(settled(rows).select("line", "r", "spans", "meta", "metrics", reason.alias("reason"), ts.alias("ts")))
     bad = rows.where("reason is not null").select("line", "reason")
     good = rows.where("reason is null")
     native, evaluated = F.col("spans").isNotNull(), r["query"].isNotNull() | r["question"].isNotNull()
