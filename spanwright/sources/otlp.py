@@ -134,13 +134,14 @@ def _exploded(rows: DataFrame, items: Column, at: str, item: str) -> DataFrame:
 
 
 def _object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
+    """Not null for an object. Nothing of it is copied."""
+    return F.try_variant_get(v, "$", "struct<__none:variant>")
 
 
 def _list(v: Column, key: str) -> Column:
     """The array under ``key``: empty where it is missing or null, null where it is something else."""
     own = F.try_variant_get(v, f"$.{key}", "variant")
-    return F.when(own.isNull() | F.is_variant_null(own), F.array().cast("array<variant>")).otherwise(F.try_variant_get(v, f"$.{key}", "array<variant>"))
+    return F.coalesce(F.try_variant_get(v, f"$.{key}", "array<variant>"), F.when(own.isNull() | F.is_variant_null(own), F.array().cast("array<variant>")))
 
 
 def entries(exports: DataFrame, value: str = "value", order: str = "doc") -> DataFrame:
@@ -154,19 +155,18 @@ def entries(exports: DataFrame, value: str = "value", order: str = "doc") -> Dat
     rows = rows.select("*", F.lit(None).cast("string").alias("reason"), F.lit("span").alias("level"), F.array("i").alias("place"))
     none = F.array(F.lit(None).cast("variant"))
 
-    def opened(rows: DataFrame, level: str, of: str, bad: Column, key: str, at: str, item: str) -> DataFrame:
-        """A row for each item under ``key`` of ``of``; of a bad one, or of what was bad already, one row."""
-        fails = F.col("reason").isNull() & bad.isNotNull()
-        rows = rows.withColumns({"level": F.when(fails, F.lit(level)).otherwise(F.col("level")), "reason": F.coalesce("reason", bad)})
-        rows = _exploded(rows, F.when(F.col("reason").isNotNull(), none).otherwise(_list(F.col(of), key)), at, item)
+    def opened(rows: DataFrame, level: str, of: str, bad: str, key: str, at: str, item: str) -> DataFrame:
+        """A row for each of ``__items``, the list under ``key`` of ``of``, which is cut out once; of a bad one, or of what was bad already, one row."""
+        rows = rows.withColumn("__items", F.when(F.col("reason").isNull() & _object(F.col(of)).isNotNull(), _list(F.col(of), key)))
+        no_object = F.when(_object(F.col(of)).isNull(), "not an object" if of != "request" else bad)
+        rows = rows.withColumn("__bad", F.when(F.col("reason").isNull() & F.col("__items").isNull(), F.coalesce(no_object, F.lit(bad))))
+        rows = rows.withColumns({"level": F.when(F.col("__bad").isNotNull(), F.lit(level)).otherwise(F.col("level")), "reason": F.coalesce("reason", "__bad")})
+        rows = _exploded(rows, F.when(F.col("reason").isNotNull(), none).otherwise(F.col("__items")), at, item).drop("__bad", "__items")
         return rows.withColumn("place", F.when(F.col("reason").isNull(), F.concat("place", F.array(at))).otherwise(F.col("place")))
 
-    no_list = F.when(_object(F.col("request")).isNull() | _list(F.col("request"), "resourceSpans").isNull(), "no resourceSpans list")
-    rows = opened(rows, "resource", "request", no_list, "resourceSpans", "r", "entry").drop("request")
-    bad = F.when(_object(F.col("entry")).isNull(), "not an object").when(_list(F.col("entry"), "scopeSpans").isNull(), "scopeSpans is not a list")
-    rows = opened(rows.withColumn("resource", F.when(F.col("reason").isNull() & bad.isNull(), flat_attributes(F.to_json(F.try_variant_get("entry", "$.resource.attributes", "variant"))))), "resource", "entry", bad, "scopeSpans", "s", "part").drop("entry")
-    bad = F.when(_object(F.col("part")).isNull(), "not an object").when(_list(F.col("part"), "spans").isNull(), "spans is not a list")
-    rows = opened(rows.withColumn("scope", F.try_variant_get("part", "$.scope.name", "string")), "scope", "part", bad, "spans", "k", "span").drop("part")
+    rows = opened(rows, "resource", "request", "no resourceSpans list", "resourceSpans", "r", "entry").drop("request")
+    rows = opened(rows.withColumn("resource", F.when(F.col("reason").isNull(), flat_attributes(F.to_json(F.try_variant_get("entry", "$.resource.attributes", "variant"))))), "resource", "entry", "scopeSpans is not a list", "scopeSpans", "s", "part").drop("entry")
+    rows = opened(rows.withColumn("scope", F.try_variant_get("part", "$.scope.name", "string")), "scope", "part", "spans is not a list", "spans", "k", "span").drop("part")
     one = lambda key: F.try_variant_get("span", f"$.{key}", "string")
     bad = F.when(_object(F.col("span")).isNull(), "not an object").when(hex_id(one("traceId")).isNull(), "missing or unreadable traceId").when(hex_id(one("spanId")).isNull(), "missing or unreadable spanId")
     service = F.coalesce(F.get_json_object("resource", "$['service.name']"), F.lit("unknown"))
