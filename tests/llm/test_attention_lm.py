@@ -121,3 +121,66 @@ def test_odd_rows(odd):
     rows = m.score(odd, F.lit(False)).collect()
     assert {r.n_known for r in rows} == {0} and {r.train_tokens for r in rows} == {0}
     assert m.score(odd.limit(0), F.lit(True)).count() == 0
+
+
+def test_texts_are_tokenised_once(spark, tmp_path, documents, monkeypatch):
+    rng = np.random.default_rng(6)
+    path, gone = tmp_path / "documents", tmp_path / "gone"
+    documents(*[(i, text(rng, 30)) for i in range(8)]).write.parquet(str(path))
+    docs = spark.read.parquet(str(path))
+    real = m.materialise
+
+    def then_without_texts(df, name):
+        out = real(df, name)
+        if path.exists():
+            path.rename(gone)
+        return out
+
+    monkeypatch.setattr(m, "materialise", then_without_texts)
+    assert {r.doc_id for r in m.score(docs, F.col("doc_id") < 6).collect()} == set(range(8))
+
+
+def test_stored_words_give_the_same_symbols_and_equal_texts_equal_numbers():
+    class Ids:
+        def of(self, words):
+            return [b"" if w == b"dropped" else np.arange(len(w), dtype="<u4").tobytes() for w in words]
+
+    texts = ["a dropped bcd", "", "dropped", None, "bcd a"]
+    words = m.words_of(texts, Ids())
+    assert m._unpacked(m._packed(words.place)).tolist() == words.place.tolist() and m._unpacked(m._packed(np.array([0, 70_000]))).tolist() == [0, 70_000]
+    whole = words.cut()
+    assert whole.symbols.tolist() == [1, m.NOTHING, 0, 2, 5, m.END, m.END, m.NOTHING, m.END, m.END, 0, 2, 5, 1, m.END] and whole.sizes.tolist() == [1, 1, 3, 1, 1, 1, 1, 1, 3, 1, 1]
+    some = words.cut(np.array([False, True, False, False, True]))
+    assert some.symbols.tolist() == [m.END, 0, 2, 5, 1, m.END] and some.texts.tolist() == [1, 3]
+    rng = np.random.default_rng(8)
+    same = text(rng, 300)
+    c = m.cut([x for k in range(12) for x in (text(rng, 7 * k), same)], word_ids(default_tokenizer()))
+    n = np.bincount(c.symbols, minlength=m.SYMBOLS).astype(float)
+    vocab = m.vocabulary(n, n, n)
+    w = {k: v + rng.normal(0, 0.2, v.shape).astype(np.float32) for k, v in m.start(vocab.classes).items()}
+    by_class, _ = m.log_probabilities(c, np.zeros(len(c.place)), w, vocab)
+    own = np.split(by_class, np.cumsum(c.texts)[:-1])[1::2]
+    assert all((x == own[0]).all() for x in own)
+
+
+def test_slopes_match_differences():
+    rng = np.random.default_rng(9)
+    rows = rng.integers(0, m.CLASSES, (5, m.WINDOW + 1))
+    rows[2, 20:] = -1
+    weight = np.array([1.0, 2, 1, 3, 1])
+    w = {k: v + rng.normal(0, 0.2, v.shape).astype(np.float32) for k, v in m.start(np.zeros(m.CLASSES)).items()}
+
+    def loss(w):
+        z = (m._hidden(w, np.maximum(rows[:, :-1], 0))["last"] @ w["o"] + w["ob"]).astype(float)
+        y = rows[:, 1:].ravel()
+        each = np.where(y >= 0, np.repeat(weight, m.WINDOW), 0)
+        return -(each * (z - np.log(np.exp(z).sum(1, keepdims=True)))[np.arange(len(y)), y]).sum() / each.sum()
+
+    descent = m.Descent(w, 1, 0.0)
+    descent.step(rows, weight)
+    for name, slope in descent.g.items():
+        way = rng.normal(0, 1, slope.shape)
+        there, back = ({k: v.astype(float) for k, v in w.items()} for _ in range(2))
+        there[name] += 1e-4 * way
+        back[name] -= 1e-4 * way
+        assert (loss(there) - loss(back)) / 2e-4 == pytest.approx((slope * way).sum(), rel=2e-2, abs=2e-4), name
